@@ -39,7 +39,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = F.col("findings") if keep is None else F.filter("findings", keep)
         return F.array_join(F.transform(f, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
-    counts = [F.size(F.filter("findings", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    def count(kind: str):
+        return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{k}") for k in secrets.KINDS[:3]]
     return found.select(
         "doc_id", *counts, F.sha2(spans(lambda x: x["k"] < 3).cast("binary"), 256).alias("base_sha256"), spans().alias("spans"),
         F.size(F.filter("findings", lambda x: x["example"])).cast("long").alias("n_example"), F.size(F.filter("findings", lambda x: ~x["example"])).cast("long").alias("n_live"),
