@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,17 @@ def texts_of(batch: pa.RecordBatch, column: str = "text", chars: int = 8_000_000
         yield start, part
 
 
+def array_slices(texts: pa.Array, size: int = 8_000_000) -> Iterator[pa.Array]:
+    """texts, about so many bytes of them at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else []
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A row's identity where ids may repeat: rows that share it have the same id and text."""
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))

@@ -21,19 +21,22 @@ table gives no parts and no rows.
 from __future__ import annotations
 
 import json
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import filterfalse
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, texts_of
+from .common import array_slices, shared_path
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -42,6 +45,10 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The piece that stands for a text's end.
+LAST = "\x01end"
+
+
 def byte_signs() -> dict[int, str]:
     """The characters by which byte-level vocabularies write bytes: printable Latin-1 itself, then from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -102,15 +109,14 @@ class Encoder:
                 yield p, raw[start:e]
                 start = e + size
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Put pieces that memo lacks into it."""
         memo, old = self.memo, self.old
-        known = new & old.keys()
-        memo.update({p: old[p] for p in known})
-        new -= known
+        known = list(filter(old.__contains__, new))
+        memo.update(zip(known, map(old.__getitem__, known), strict=True))
         letters, others, marked = set(), set(), []
-        for p in new:
-            if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
+        for p in filterfalse(old.__contains__, new):
+            if p.isalpha() or p[1:].isalpha() and p[0] == " ":
                 letters.add(p)
                 continue
             stem = p.rstrip(self.MARKS)
@@ -126,25 +132,49 @@ class Encoder:
         memo.update(self._encoded(list(others - memo.keys()), False))
         memo.update({p: memo[stem] + memo[marks] for p, stem, marks in marked})
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of dtype."""
-        out: list[bytes | None] = [None] * len(texts)
-        split: dict[int, list[str]] = {}
-        new: set[str] = set()
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[bytes, np.ndarray]:
+        """The ids of all texts (null: empty), each with its end, and how many ids each has."""
+        texts = texts.fill_null("")
+        size, end = self.dtype.itemsize, self.dtype.type(end_id).tobytes()
+        if not self.by_piece:
+            whole = [self.ids(t).tobytes() + end for t in texts.to_pylist()]
+            return b"".join(whole), np.array([len(x) // size for x in whole], np.int64)
         if len(self.memo) > self.MOST:
             self.old, self.memo = self.memo, {}
         memo = self.memo
-        if self.by_piece:
-            memo["\n"] = self.dtype.type(self.feed).tobytes()
-        for i, t in enumerate(texts):
-            if self.by_piece and "\x00" not in t and not any(a in t for a in self.added):
-                split[i] = p = t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-                new.update(filterfalse(memo.__contains__, p))
-        self._learn(new)
-        for i, t in enumerate(texts):
-            pieces = [None] if i not in split else list(map(memo.__getitem__, split[i]))
-            out[i] = self.ids(t).tobytes() if None in pieces else b"".join(pieces)
-        return out
+        memo["\n"], memo[LAST] = self.dtype.type(self.feed).tobytes(), end
+        odd = np.zeros(len(texts), bool)
+        for mark in ("\x00", LAST, *self.added):
+            odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n\x00")
+        cut = pc.split_pattern(pc.binary_join_element_wise(cut, LAST, "\x00"), "\x00")
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(list(filterfalse(memo.__contains__, pieces)))
+        ids = pa.array(list(map(memo.__getitem__, pieces)), pa.binary()).take(coded.indices)
+        bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        if ids.null_count:
+            none = np.concatenate([[0], np.cumsum(ids.is_null().to_numpy(zero_copy_only=False))])
+            odd |= none[bounds[1:]] > none[bounds[:-1]]
+        at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        data, starts = memoryview(ids.buffers()[2]), at[bounds].astype(np.int64)
+        counts = np.diff(starts) // size
+        if not odd.any():
+            return bytes(data[starts[0] : starts[-1]]), counts
+        out, done = [], 0
+        for i in np.flatnonzero(odd).tolist():
+            whole = self.ids(texts[i].as_py())
+            out += [data[starts[done] : starts[i]], whole.tobytes(), end]
+            counts[i], done = len(whole) + 1, i + 1
+        return b"".join([*out, data[starts[done] : starts[-1]]]), counts
+
+
+def encoder_for(path: str) -> Encoder:
+    """This worker process's encoder, kept from task to task with what it has learnt."""
+    kept = sys.modules.setdefault("folioscope_kept", ModuleType("folioscope_kept"))
+    if getattr(kept, "encoder_path", None) != path:
+        kept.encoder, kept.encoder_path = Encoder(path), path
+    return kept.encoder
 
 
 @dataclass(frozen=True)
@@ -172,7 +202,7 @@ def write(docs: DataFrame, folder: str, *, vocabulary: str | None = None, end_id
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = Encoder(vocabulary), np.array([end_id], dtype).tobytes()
+        encoder = encoder_for(vocabulary)
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         name = f"part-{shard:05d}-{uuid.uuid4().hex[:12]}"
@@ -191,19 +221,19 @@ def write(docs: DataFrame, folder: str, *, vocabulary: str | None = None, end_id
         with fs.open_output_stream(f"{root}/{name}.arrow") as f, pa.ipc.new_file(f, schema) as w, fs.open_output_stream(f"{root}/{name}.docs.arrow") as g:
             index = None
             for b in batches:
-                counts = []
-                for _, texts in texts_of(b):
-                    for x in encoder.encode(texts):
-                        left += [x, end]
-                        counts.append(len(x) // len(end) + 1)
-                        held += len(x) + len(end)
+                sizes = []
+                for texts in array_slices(b.column("text")):
+                    x, n = encoder.encode(texts, end_id)
+                    left.append(x)
+                    sizes.append(n)
+                    held += len(x)
                     if held >= width * rows:
                         data, left = b"".join(left), []
                         full = len(data) - len(data) % (width * rows)
                         for k in range(0, full, width * rows):
                             w.write_batch(batch(data[k : k + width * rows], rows * seq_len))
                         left, held = [data[full:]], len(data) - full
-                counts = np.array(counts, np.int64)
+                counts = np.concatenate([np.empty(0, np.int64), *sizes])
                 starts = at + np.cumsum(counts) - counts
                 part = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(starts), pa.array(counts)], names=["doc_id", "start", "n_tokens"])
                 index = index or pa.ipc.new_file(g, part.schema)
@@ -211,7 +241,7 @@ def write(docs: DataFrame, folder: str, *, vocabulary: str | None = None, end_id
                 at, n_docs = at + int(counts.sum()), n_docs + len(counts)
             if held:
                 data = b"".join(left)
-                w.write_batch(batch(data + bytes(-len(data) % width), len(data) // len(end)))
+                w.write_batch(batch(data + bytes(-len(data) % width), len(data) // np.dtype(dtype).itemsize))
             if index:
                 index.close()
         if n_docs:
