@@ -81,6 +81,19 @@ def array_slices(texts: pa.Array, size: int = 8_000_000) -> Iterator[pa.Array]:
         start = stop
 
 
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of texts, the code of each token (an end: the number of words) and where texts begin and end."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = cut.flatten().dictionary_encode()
+    codes, bounds = flat.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
+    void = pc.index(flat.dictionary, "").as_py()  # beside white space at a text's ends
+    if void >= 0:
+        word = codes != void
+        bounds, codes = np.concatenate([[0], np.cumsum(word)])[bounds], codes[word]
+    codes = np.insert(codes, bounds[1:], len(flat.dictionary))
+    return flat.dictionary, codes, bounds + np.arange(len(bounds))
+
+
 def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A row's identity where ids may repeat: rows that share it have the same id and text."""
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,19 +29,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType
+from pyspark.sql.types import ArrayType, StringType
 
-from .common import materialise, texts_of
+from .common import array_slices, coded_words, materialise
 
-END = b"\n"
-BLOCK = 1024
+END = "\n"
+BLOCK = 256
 
 
-def tokens_of(text: str) -> list[bytes]:
+def tokens_of(text: str) -> list[str]:
     """Lower-cased (A-Z) words between ASCII white space, then the end."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()
-    w.append(END)
-    return w
+    return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").lower().split()] + [END]
 
 
 @dataclass
@@ -51,11 +48,11 @@ class Classes:
 
     own: int
     size: int
-    count: dict[bytes, int]
-    number: dict[bytes, int]
+    count: dict[str, int]
+    number: dict[str, int]
 
-    def of(self, word: bytes) -> int:
-        return self.number.get(word) or 1 + self.own + zlib.crc32(word[-3:]) % (self.size - self.own - 1) if word != END else 0
+    def of(self, word: str) -> int:
+        return self.number.get(word) or 1 + self.own + zlib.crc32(word[-3:].encode()) % (self.size - self.own - 1) if word != END else 0
 
 
 @dataclass
@@ -171,22 +168,15 @@ def count_words(docs: DataFrame) -> DataFrame:
     """word (its bytes) and c of every token of docs' texts, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def sent() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "c"])
-            held.clear()
-            return out
-
         for b in batches:
-            for _, texts in texts_of(b, chars=2_000_000):
-                for t in texts:
-                    held.update(tokens_of(t))
-                if len(held) > 400_000:
-                    yield sent()
-        yield sent()
+            for texts in array_slices(b.column("text")):
+                words, codes, bounds = coded_words(texts)
+                counts = np.bincount(codes, minlength=len(words) + 1)
+                counts, at = counts[counts > 0], np.flatnonzero(counts)
+                words = pa.concat_arrays([words, pa.array([END])])
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(at)), pa.array(counts)], names=["word", "c"])
 
-    return materialise(docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
+    return materialise(docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
 
 
 def score(docs: DataFrame, *, held_out: Column, states: int = 8, own_classes: int = 1023, classes: int = 2048, lookup_words: int = 150_000, sample: int = 1200, warm: int = 8, passes: int = 2) -> DataFrame:
@@ -199,8 +189,8 @@ def score(docs: DataFrame, *, held_out: Column, states: int = 8, own_classes: in
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     counts = count_words(rows.where("not held_out"))
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    common = counts.where(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("c"), "word").limit(lookup_words).toArrow()
-    ends = counts.where(F.col("word") == F.lit(bytearray(END))).select("c").collect()
+    common = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(lookup_words).toArrow()
+    ends = counts.where(F.col("word") == F.lit(END)).select("c").collect()
     common_words, common_counts = common["word"].to_pylist(), common["c"].to_pylist()
     own = min(own_classes, len(common_words))
     model_classes = Classes(own, classes, dict(zip(common_words, common_counts, strict=True)) | {END: ends[0][0] if ends else 0}, {w: k + 1 for k, w in enumerate(common_words[:own])})
@@ -223,27 +213,28 @@ def score(docs: DataFrame, *, held_out: Column, states: int = 8, own_classes: in
     prior[0] = max(prior[0], 1e-7)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, of = sent.value.count, sent.value.of
-        logs: dict[bytes, tuple[float, int]] = {}
+        known, of, top = sent.value.count, sent.value.of, below
         for b in batches:
-            out = [[] for _ in range(6)]
-            for _, texts in texts_of(b, chars=2_000_000):
-                for t in texts:
-                    w = tokens_of(t)
-                    for x in set(w) - logs.keys():
-                        c = known.get(x)
-                        logs[x] = (math.log10(c + 1) if c else 0.0, of(x), c is None, bool(c))
-                    got = [logs[x] for x in w]
-                    log, k, rare, sure = (np.array(x) for x in zip(*got, strict=True))
-                    for into, x in zip(out, (len(w), int(sure.sum()), float(log.sum()), float(below[k].sum()), k.astype("<u2").tobytes(), [w[i] for i in np.flatnonzero(rare)]), strict=True):
-                        into.append(x)
-                if len(logs) > 300_000:
-                    logs.clear()
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
-            arrays = [b.column("doc_id"), b.column("held_out"), *(pa.array(x, kind) for x, kind in zip(out, types, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "sure", "logs", "below", "k", "rare"])
-
-    schema = docs.select("doc_id").schema.add("held_out", "boolean").add("n_tokens", "long").add("sure", "long").add("logs", "double").add("below", "double").add("k", "binary").add("rare", ArrayType(BinaryType()))
+            done = 0
+            for texts in array_slices(b.column("text")):
+                words, codes, bounds = coded_words(texts)
+                names = [*words.to_numpy(zero_copy_only=False).tolist(), END]
+                c = np.array([known.get(x, -1) for x in names])
+                k = np.array([of(x) for x in names])
+                starts, n = bounds[:-1], len(texts)
+                rare = np.flatnonzero((c < 0)[codes])
+                cuts = np.searchsorted(rare, bounds).astype(np.int32)
+                raw = k.astype("<u2")[codes]
+                ends = pa.py_buffer((bounds * 2).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    b.column("doc_id").slice(done, n), b.column("held_out").slice(done, n), pa.array(np.diff(bounds).astype(np.int64)),
+                    pa.array(np.add.reduceat((c > 0).astype(np.int64)[codes], starts)), pa.array(np.add.reduceat(np.log10(np.maximum(c, 0) + 1.0)[codes], starts)),
+                    pa.array(np.add.reduceat(top[k][codes], starts)), pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(raw)]),
+                    pa.ListArray.from_arrays(pa.array(cuts), words.take(pa.array(codes[rare]))),
+                ], names=["doc_id", "held_out", "n_tokens", "sure", "logs", "below", "k", "rare"])
+                done += n
+
+    schema = docs.select("doc_id").schema.add("held_out", "boolean").add("n_tokens", "long").add("sure", "long").add("logs", "double").add("below", "double").add("k", "binary").add("rare", ArrayType(StringType()))
     table = materialise(rows.mapInArrow(coded, schema).withColumn("row", F.monotonically_increasing_id()), "lm-coded")
 
     # Baum-Welch

@@ -25,12 +25,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import materialise, text_key, texts_of
+from .common import array_slices, coded_words, materialise, text_key
 
 #: Rows of the largest table that is sent to all executors; beyond, a shuffle join.
 SENT_ROWS = 1_000_000
@@ -49,42 +50,39 @@ def depth_for(threshold: float, trees: int, most: int, target: float) -> int:
     return d
 
 
-def word_hashes(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
-    if len(memo) > 400_000:
-        memo.clear()
-    for w in set(words) - memo.keys():
-        memo[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+def word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """64-bit hashes of each text's words, in order."""
+    words, codes, bounds = coded_words(texts)
+    h = np.append(pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False), np.uint64(0))[codes]
+    return [h[s : e - 1] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def shingles(words: list[bytes], n: int, memo: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words, memo)
+def shingles(h: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the n-word shingles of words' hashes h; fewer words make one shingle."""
+    if not len(h):
+        return h
     n = min(n, len(h))
     x = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
-        x = (x ^ h[k : k + len(x)]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= h[k : k + len(x)]
+        x *= np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
-    return np.unique(x * np.uint64(0xBF58476D1CE4E5B9))
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])]
 
 
 class Forest:
     def __init__(self, trees: int, depth: int, prefix: int) -> None:
         r = np.random.default_rng(20)
         self.trees, self.depth, self.prefix = trees, depth, prefix
-        self.a = r.integers(1 << 63, size=(trees * depth, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.a = r.integers(1 << 63, size=trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.mix = r.integers(1 << 63, size=(trees, prefix), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def minima(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(self.a), np.uint64(0xFFFFFFFFFFFFFFFF))
-        for k in range(0, len(x), 2048):
-            np.minimum(out, (self.a * x[k : k + 2048]).min(axis=1), out=out)
+        for k in range(0, len(x), 128):  # rows by minima, so that the least are found along whole rows
+            np.minimum(out, (x[k : k + 128, None] * self.a).min(axis=0), out=out)
         return out >> np.uint64(32)
 
     def nodes(self, minima: np.ndarray) -> np.ndarray:
@@ -99,14 +97,12 @@ def sketch(docs: DataFrame, n: int, forest: Forest) -> DataFrame:
     """doc_id, tk (the row's key), digest (of its words), n (shingles), nodes and sig of each row, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
         for b in batches:
             digests, counts, nodes, sigs = [], [], [], []
-            for _, texts in texts_of(b):
-                for t in texts:
-                    w = words_of(t)
-                    x = shingles(w, n, memo)
-                    digests.append(hashlib.md5(b" ".join(w)).digest())
+            for texts in array_slices(b.column("text")):
+                for h in word_hashes(texts):
+                    x = shingles(h, n)
+                    digests.append(hashlib.md5(h).digest())
                     counts.append(len(x))
                     m = forest.minima(x)
                     nodes.append(forest.nodes(m) if len(x) else np.empty(0, np.int64))
@@ -297,11 +293,11 @@ def classes(docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4
     known = materialise(known.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks"))).drop("n"), "near-blocks")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
         for b in batches:
-            for at, part in texts_of(b):
-                x = [shingles(words_of(t), words, memo).tobytes() for t in part]
-                kept = b.slice(at, len(part))
+            at = 0
+            for texts in array_slices(b.column("text")):
+                x = [shingles(h, words).tobytes() for h in word_hashes(texts)]
+                kept, at = b.slice(at, len(texts)), at + len(texts)
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("uid", "comp", "copies", "blocks", "block")), pa.array(x, pa.binary())], names=["uid", "comp", "copies", "blocks", "block", "x"])
 
     chosen = docs.select(text_key().alias("tk"), "text").join(_sent(known), "tk").select("uid", "comp", "copies", "blocks", "block", "text")
