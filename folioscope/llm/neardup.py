@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -188,6 +188,15 @@ def lead(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
     yield sent()
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges that connect the same: each member b keeps its least leader a, which its other leaders are tied to.
+
+    A member has at most the leaders of one node in each tree, so its window is small.
+    """
+    e = materialise(edges.distinct().withColumn("m", F.min("a").over(Window.partitionBy("b"))), "near-met")
+    return e.select("m", "b").union(e.select("m", "a")).toDF("a", "b").where("a <> b").distinct()
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """id and root (the least id of its component) of every node of edges (a, b), by large and small stars."""
     e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "near-edges")
@@ -284,7 +293,7 @@ def classes(docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4
     led = materialise(met.mapInArrow(lambda batches: lead(batches, trees * depth), "a long, b long, node long"), "near-led")
     leaders = led.where("b is null")
     heads = leaders.groupBy("node").agg(F.min("a").alias("b"))
-    met_in = components(led.where("b is not null").select("a", "b").union(leaders.select("node", "a").join(heads, "node").select("a", "b")))
+    met_in = components(contracted(led.where("b is not null").select("a", "b")).union(leaders.select("node", "a").join(heads, "node").select("a", "b")))
 
     # exact comparison within what is connected, in blocks
     known = met_in.join(texts.select("uid", "tk", "n", "copies"), met_in["id"] == texts["uid"]).select("uid", F.col("root").alias("comp"), "tk", "n", "copies")
