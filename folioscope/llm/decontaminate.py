@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidied
+
 #: Each byte's lower-case form if it is part of a word, else a space.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -121,12 +123,13 @@ FOUND = "struct<n_words:bigint,hits:array<int>,matches:array<struct<item_id:stri
 
 
 def _found(block: Block, spark, text: Column) -> Column:
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(block)
     match = pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         block = sent.value
-        for col in parts:
+        for col in tidied(parts):
             counts, hits, matches = [], [], []
             texts: list[str | None] = []
             size = 0

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .common import array_slices, coded_words, materialise
+from .common import array_slices, coded_words, materialise, small_batches, tidied
 
 END = "\n"
 BLOCK = 256
@@ -168,7 +168,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """word (its bytes) and c of every token of docs' texts, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidied(batches):
             for texts in array_slices(b.column("text")):
                 words, codes, bounds = coded_words(texts)
                 counts = np.bincount(codes, minlength=len(words) + 1)
@@ -186,6 +186,7 @@ def score(docs: DataFrame, *, held_out: Column, states: int = 8, own_classes: in
     of the initial guess; passes are over all texts learnt from.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     counts = count_words(rows.where("not held_out"))
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -198,7 +199,7 @@ def score(docs: DataFrame, *, held_out: Column, states: int = 8, own_classes: in
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, n, v = sent.value.of, np.zeros(classes, np.int64), np.zeros(classes, np.int64)
-        for b in batches:
+        for b in tidied(batches):
             k = np.fromiter(map(of, b.column("word").to_pylist()), np.int64, b.num_rows)
             n += np.bincount(k, weights=b.column("c").to_numpy(), minlength=classes).astype(np.int64)
             v += np.bincount(k, minlength=classes)
@@ -214,7 +215,7 @@ def score(docs: DataFrame, *, held_out: Column, states: int = 8, own_classes: in
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, of, top = sent.value.count, sent.value.of, below
-        for b in batches:
+        for b in tidied(batches):
             done = 0
             for texts in array_slices(b.column("text")):
                 words, codes, bounds = coded_words(texts)
@@ -250,7 +251,7 @@ def score(docs: DataFrame, *, held_out: Column, states: int = 8, own_classes: in
 
         def gather(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             total = 0.0
-            for b in batches:
+            for b in tidied(batches):
                 part, size = [], 0
                 for x in b.column("k"):
                     part.append(np.frombuffer(x.as_py(), "<u2").astype(np.int64))
@@ -271,7 +272,7 @@ def score(docs: DataFrame, *, held_out: Column, states: int = 8, own_classes: in
     final = spark.sparkContext.broadcast(model)
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidied(batches):
             texts = [np.frombuffer(x.as_py(), "<u2") for x in b.column("k")]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(log10_likelihoods(texts, final.value))], names=[*b.schema.names[:-1], "path"])
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import array_slices, coded_words, materialise, text_key
+from .common import array_slices, coded_words, materialise, small_batches, text_key, tidied
 
 #: Rows of the largest table that is sent to all executors; beyond, a shuffle join.
 SENT_ROWS = 1_000_000
@@ -97,7 +97,7 @@ def sketch(docs: DataFrame, n: int, forest: Forest) -> DataFrame:
     """doc_id, tk (the row's key), digest (of its words), n (shingles), nodes and sig of each row, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidied(batches):
             digests, counts, nodes, sigs = [], [], [], []
             for texts in array_slices(b.column("text")):
                 for h in word_hashes(texts):
@@ -277,6 +277,7 @@ def classes(docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4
     similarity is a fraction, so the comparison with it is exact.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     num, den = similarity
     forest = Forest(trees, depth, depth_for(num / den, trees, depth, target))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -290,7 +291,7 @@ def classes(docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4
     full = full.groupBy("size", "x").agg(F.min("node").alias("node")).select("node", F.ceil(F.col("size") / F.lit(NODE / 2)).alias("parts"), "size").withColumn("parts", F.when(F.col("size") > NODE, F.col("parts")).otherwise(1).cast("long"))
     met = member.join(full.drop("size"), "node").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
     met = met.join(texts.select("uid", "sig"), "uid").select("node", "part", "parts", "uid", "sig").repartition(parts, "node", "part").sortWithinPartitions("node", "part", "uid")
-    led = materialise(met.mapInArrow(lambda batches: lead(batches, trees * depth), "a long, b long, node long"), "near-led")
+    led = materialise(met.mapInArrow(lambda batches: lead(tidied(batches), trees * depth), "a long, b long, node long"), "near-led")
     leaders = led.where("b is null")
     heads = leaders.groupBy("node").agg(F.min("a").alias("b"))
     met_in = components(contracted(led.where("b is not null").select("a", "b")).union(leaders.select("node", "a").join(heads, "node").select("a", "b")))
@@ -302,7 +303,7 @@ def classes(docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4
     known = materialise(known.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks"))).drop("n"), "near-blocks")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidied(batches):
             at = 0
             for texts in array_slices(b.column("text")):
                 x = [shingles(h, words).tobytes() for h in word_hashes(texts)]
@@ -314,7 +315,7 @@ def classes(docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     chosen = chosen.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     chosen = chosen.select("comp", "i", "j", "uid", "block", "copies", "x").repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "uid")
-    found = materialise(chosen.mapInArrow(lambda batches: verify(batches, num, den), "a long, b long, links long"), "near-links")
+    found = materialise(chosen.mapInArrow(lambda batches: verify(tidied(batches), num, den), "a long, b long, links long"), "near-links")
 
     root = components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy(F.col("a").alias("uid")).agg(F.sum("links").alias("links"))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidied
+
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -40,7 +42,7 @@ def shape(token: str) -> int:
 class Memo(dict):
     """Hashes of tokens with their shapes in the low bits, forgotten when there are too many."""
 
-    most = 300_000
+    most = 150_000
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.most:
@@ -99,6 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", eli
     eligible: a condition on doc_id that rows to learn from meet. The bound keeps
     the one training task small; the scan for their texts covers all documents.
     """
+    small_batches(docs.sparkSession)
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())
     if eligible is not None:
         chosen = chosen.where(eligible)
@@ -106,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", eli
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
-        for b in batches:
+        for b in tidied(batches):
             out = []
             for t in b.column("text"):
                 idx, count = np.unique(gram_ids(t.as_py(), memo, bits), return_counts=True)
@@ -138,11 +141,12 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", eli
 
 def score(docs: DataFrame, model: QualityModel, out: str = "score") -> DataFrame:
     """docs with the model's probability of label 1 for each whole text, in column out."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.bits, model.scale))  # 2**bits floats
 
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo, (weights, bias, bits, scale) = Memo(), sent.value
-        for part in parts:
+        for part in tidied(parts):
             s = np.empty(len(part))
             for i, t in enumerate(part):
                 idx = gram_ids(t, memo, bits)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import materialise, texts_of
+from .common import materialise, small_batches, texts_of, tidied
 
 KINDS = ("assign", "access", "hex", "key")
 NAMES = ("password", "passwd", "secret", "token", "api")
@@ -69,7 +69,7 @@ def extract(docs: DataFrame, owner: str, repository: str | None) -> DataFrame:
     """A table of doc_id, owner, repository (default: a digest of the text) and found candidates, a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidied(batches):
             found, digests = [], []
             for _, texts in texts_of(b):
                 for t in texts:
@@ -78,6 +78,7 @@ def extract(docs: DataFrame, owner: str, repository: str | None) -> DataFrame:
             repos = b.column("repository").cast(pa.string()) if repository else pa.array(digests, pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("owner"), repos, pa.array(found, FOUND)], names=["doc_id", "owner", "repository", "found"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), *([F.col(repository).cast("string").alias("repository")] if repository else []), "text")
     schema = docs.select("doc_id").schema.add("owner", "string").add("repository", "string").add("found", FOUND_TYPE)
     return materialise(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "secrets")

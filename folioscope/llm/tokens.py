@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import array_slices, shared_path
+from .common import array_slices, shared_path, small_batches, tidied
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -69,7 +69,7 @@ class Encoder:
     what is frequent stays; None marks a piece that needs its whole text.
     """
 
-    MOST, MARKS = 250_000, "!#$%&*+,./:;=?@|~-_)]}>"
+    MOST, MARKS = 180_000, "!#$%&*+,./:;=?@|~-_)]}>"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -191,6 +191,7 @@ class TokenFiles:
 def write(docs: DataFrame, folder: str, *, vocabulary: str | None = None, end_id: int = 0, seq_len: int = 1024, rows: int = 256, shards: int | None = None) -> TokenFiles:
     """Encode docs (doc_id, text) and write them to folder, any place pyarrow and Spark both reach."""
     spark = docs.sparkSession
+    small_batches(spark)
     vocabulary = vocabulary or vocabulary_path()
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -220,7 +221,7 @@ def write(docs: DataFrame, folder: str, *, vocabulary: str | None = None, end_id
 
         with fs.open_output_stream(f"{root}/{name}.arrow") as f, pa.ipc.new_file(f, schema) as w, fs.open_output_stream(f"{root}/{name}.docs.arrow") as g:
             index = None
-            for b in batches:
+            for b in tidied(batches):
                 sizes = []
                 for texts in array_slices(b.column("text")):
                     x, n = encoder.encode(texts, end_id)
@@ -280,7 +281,7 @@ def read_documents(spark: SparkSession, files: TokenFiles) -> DataFrame:
     parts, folder = files.parts, files.folder
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tidied(batches):
             for k in b.column(0).to_pylist():
                 name, base, _, _ = parts[k]
                 reader, at, flat, start = open_part(folder, name), 0, np.empty(0, np.uint16), 0
