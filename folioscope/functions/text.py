@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,3 +68,27 @@ def clamped(x: Column) -> Column:
 
 def sigmoid(x: Column, scale: float = 3.0) -> Column:
     return 1 / (1 + F.exp(-x / scale))
+
+
+def squeezed(t: Column) -> Column:
+    """Runs of white space as one blank, none at the ends; case is kept."""
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def capitalised(t: Column) -> Column:
+    """First letter in upper case, the rest as it is."""
+    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 2**31 - 1))
+
+
+def first_word(t: Column) -> Column:
+    return F.lower(F.regexp_extract(t, r"^\s*(\S+)", 1))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def any_of(t: Column, parts: Sequence[str]) -> Column:
+    """Whether any part occurs in t, inside words as well."""
+    return t.rlike("|".join(re.escape(p) for p in parts))

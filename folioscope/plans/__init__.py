@@ -1 +1,6 @@
-"""Plans of folioscope."""
+"""Queries by name."""
+
+from . import registry  # isort: skip
+from . import qa  # isort: skip
+
+__all__ = ["qa", "registry"]
