@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.layout import TOPICS, same_topic
 from ..functions.quality import confidence, text_quality
 from ..functions.text import normalised
+from .chunk import tasks
 
 ALIKE = 80.0
 
@@ -30,17 +31,24 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - open_.bit_count()) / (len(a) + len(b))
 
 
-def token_set_ratio(a: str, b: str) -> float:
-    """The best indel ratio among common words, and common words with either text's own; 0 where a text is empty."""
+def token_set_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The best indel ratio among common words, and common words with either text's own; 0 where a text is empty or all are under least.
+
+    Common words begin both longer strings, so only those two need comparing, and only where their lengths allow it.
+    """
     x, y = set(a.split()), set(b.split())
     if not x or not y:
         return 0.0
     common, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
     if common and not (left and right):
         return 100.0
-    a_all, b_all = f"{common} {left}".strip(), f"{common} {right}".strip()
-    best = indel_ratio(a_all, b_all)
-    return max(best, indel_ratio(common, a_all), indel_ratio(common, b_all)) if common else best
+    head = len(common) + 1 if common else 0
+    m, n = head + len(left), head + len(right)
+    best = 200.0 * len(common) / (len(common) + min(m, n)) if common else 0.0
+    possible = 200.0 * min(m, n) / (m + n)
+    if possible >= max(best, least):
+        best = max(best, indel_ratio(f"{common} {left}" if common else left, f"{common} {right}" if common else right))
+    return best if best >= least else 0.0
 
 
 def _claims(pdf: pd.DataFrame, ocr: pd.DataFrame, least: float) -> list[tuple]:
@@ -50,13 +58,16 @@ def _claims(pdf: pd.DataFrame, ocr: pd.DataFrame, least: float) -> list[tuple]:
     free = list(ocr.sort_values("idx").itertuples(index=False))
     out = []
     for p in pdf.sort_values("idx").itertuples(index=False):
-        scored = [(token_set_ratio(p.norm, o.norm), -k) for k, o in enumerate(free)]
-        if scored and max(scored)[0] >= least:
-            ratio, k = max(scored)
-            o = free[-k]
+        ratio, k = 0.0, -1
+        for j, o in enumerate(free):
+            r = token_set_ratio(p.norm, o.norm, max(least, ratio))
+            if r > ratio:
+                ratio, k = r, j
+        if k >= 0:
+            o = free[k]
             out.append((p.idx, o.idx, ratio))
             if _same(p.topics, o.topics):
-                del free[-k]
+                del free[k]
     return out
 
 
@@ -84,7 +95,8 @@ def merge(pdf: DataFrame, ocr: DataFrame, book: str = "book", least: float = ALI
         return pd.DataFrame([(key[0], *x) for x in _claims(a, b, least)], columns=[book, "idx", "ocr_idx", "similarity"])
 
     lean = [book, "idx", "norm", "topics"]
-    found = p.select(lean).groupBy(book).cogroup(o.select(lean).groupBy(book)).applyInPandas(claim, f"{book} {kind}, idx {index}, ocr_idx {index}, similarity double")
+    n = tasks(pdf)
+    found = p.select(lean).repartition(n, book).groupBy(book).cogroup(o.select(lean).repartition(n, book).groupBy(book)).applyInPandas(claim, f"{book} {kind}, idx {index}, ocr_idx {index}, similarity double")
     other = o.select(book, F.col("idx").alias("ocr_idx"), *(F.col(c).alias(f"o_{c}") for c in ("text", "section", "quality")))
     met = p.join(found, [book, "idx"], "left").join(other, [book, "ocr_idx"], "left")
     met = met.withColumn("matched", F.col("ocr_idx").isNotNull()).withColumn("variant", F.col("matched") & ~same_topic(F.col("text"), F.col("o_text")))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunk import tasks
+
 
 @dataclass(frozen=True)
 class Lexicon:
@@ -93,6 +95,7 @@ def corrections(words: DataFrame, lex: Lexicon, column: str = "word") -> DataFra
             yield b.map(corrector.correct)
 
     distinct = words.select(F.col(column).alias("word")).where("word is not null").distinct()
+    distinct = distinct.repartition(tasks(words), "word")  # few bytes but much work: don't let it run as one task
     return distinct.withColumn("correction", fix("word")).where("word <> correction")
 
 

@@ -8,7 +8,7 @@ import pytest
 
 from folioscope.plans.registry import QUERIES, SQL
 
-DIR = "/root/testdata/sf0.001"
+DIR = os.environ.get("QUERY_DIR", "/root/testdata/sf0.001")
 TABLES = "lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
