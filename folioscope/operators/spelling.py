@@ -7,6 +7,7 @@ vocabulary. Word lists are parameters of the driver's size, shipped with the tas
 from __future__ import annotations
 
 import difflib
+import functools
 import string
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -53,6 +54,7 @@ class Corrector:
 
     def __init__(self, lex: Lexicon) -> None:
         self.lex, self.terms = lex, {t.lower(): t for t in lex.terms}
+        self.edits = functools.lru_cache(maxsize=2000)(_edits)
         self.index: dict[str, list[str]] = {}
         for w in lex.known:
             for x in _shorter(w):
@@ -63,7 +65,7 @@ class Corrector:
         near = _edits(word)
         found = near & self.lex.known.keys()
         maybe = {w for x in _shorter(word) for w in self.index.get(x, ())} if not found else set()
-        return found or {w for w in maybe if not near.isdisjoint(_edits(w))}
+        return found or {w for w in maybe if not near.isdisjoint(self.edits(w))}
 
     def correct(self, word: str) -> str:
         """The word as it should be: unchanged where nothing near enough is known."""
