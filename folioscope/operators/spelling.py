@@ -1,7 +1,8 @@
 """Spelling of words: protected terms, typing errors, fragments and the nearest known words.
 
 Every distinct word is corrected once and joined back, so costs follow the
-vocabulary. Word lists are parameters of the driver's size, shipped with the task.
+vocabulary. Word lists are parameters of the driver's size, shipped with the task;
+known words can also be a table of any size (corrections_from), which is joined.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import difflib
 import functools
 import string
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -49,6 +50,10 @@ def _shorter(w: str) -> set[str]:
     return {w} | one | {x[:k] + x[k + 1 :] for x in one for k in range(len(x))}
 
 
+def _likeness(low: str, c: str) -> float:
+    return difflib.SequenceMatcher(None, low, c).ratio()
+
+
 class Corrector:
     """A lexicon with an index of what is left of its words, by which words two edits away are found."""
 
@@ -67,24 +72,36 @@ class Corrector:
         maybe = {w for x in _shorter(word) for w in self.index.get(x, ())} if not found else set()
         return found or {w for w in maybe if not near.isdisjoint(self.edits(w))}
 
+    def best(self, low: str, maybe: Iterable[str]) -> str | None:
+        """The likest of maybe one edit away, else of those two away."""
+        near = _edits(low)
+        rank = lambda c: (-(_likeness(low, c) - 0.1 * abs(len(c) - len(low))), c)
+        one = near.intersection(maybe)
+        if one:
+            return min(one, key=rank)
+        return next((c for c in sorted(maybe, key=rank) if not near.isdisjoint(self.edits(c))), None)
+
     def correct(self, word: str) -> str:
         """The word as it should be: unchanged where nothing near enough is known."""
+        low = word.lower()
+        return self.settled(word, low in self.lex.known, lambda: {w for x in _shorter(low) for w in self.index.get(x, ())})
+
+    def settled(self, word: str, valid: bool, maybe: Callable[[], Iterable[str]]) -> str:
+        """word as correct() has it, valid where it is known; maybe gives all known words that share a _shorter word."""
         low, lex = word.lower(), self.lex
         if not word.isalpha() or low in self.terms:
             return word
         if low in lex.typos:
             return cased_like(word, lex.typos[low])
-        valid = low in lex.known
         near = difflib.get_close_matches(low, self.terms, n=1, cutoff=0.90 if valid else 0.85)
         if near and (not valid or word not in lex.fragments):
             term = self.terms[near[0]]
             return term.upper() if word.isupper() else term[:1].upper() + term[1:] if word[0].isupper() else term.lower()
         if word in lex.fragments or valid:
             return lex.fragments.get(word, word)
-        likeness = lambda c: difflib.SequenceMatcher(None, low, c).ratio()
-        ranked = sorted(self.candidates(low), key=lambda c: (-(likeness(c) - 0.1 * abs(len(c) - len(low))), c))
-        good = ranked and likeness(ranked[0]) >= (0.5 if len(word) <= 3 else 0.65)
-        return cased_like(word, ranked[0]) if good else word
+        best = self.best(low, maybe())
+        good = best is not None and _likeness(low, best) >= (0.5 if len(word) <= 3 else 0.65)
+        return cased_like(word, best) if good else word
 
 
 def corrections(words: DataFrame, lex: Lexicon, column: str = "word") -> DataFrame:
@@ -101,6 +118,53 @@ def corrections(words: DataFrame, lex: Lexicon, column: str = "word") -> DataFra
     return distinct.withColumn("correction", fix("word")).where("word <> correction")
 
 
+LETTERS = r"^\p{L}+$"
+
+
+def known_words(words: DataFrame, column: str = "word", least: int = 2) -> DataFrame:
+    """low and n of every word of letters, in lower case, that stands least times and more: one that stands once has no other to bear it out."""
+    w = words.where(F.col(column).rlike(LETTERS)).groupBy(F.col(column).alias("word")).agg(F.count("*").alias("n"))
+    return w.select(_lower(F.col("word")).alias("low"), "n").groupBy("low").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def _lower(word: Column) -> Column:
+    def lowered(words: pd.Series) -> pd.Series:
+        return words.str.lower()  # as Corrector does it
+
+    return F.pandas_udf(lowered, "string")(word)
+
+
+def _keys(word: Column) -> Column:
+    def shorter(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: sorted(_shorter(w)))
+
+    return F.pandas_udf(shorter, "array<string>")(word)
+
+
+def corrections_from(words: DataFrame, known: DataFrame, lex: Lexicon | None = None, column: str = "word") -> DataFrame:
+    """corrections() by a table of known words (low), of any size; lex gives the other lists.
+
+    Unknown words meet the known ones that they share a deletion with (_shorter) in a
+    join on its hash: words that only hashes bring together are no edits of each other.
+    """
+    lex = lex or Lexicon({})
+
+    @F.pandas_udf("string")
+    def fix(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        corrector = Corrector(lex)
+        for b in batches:
+            yield pd.Series([corrector.settled(w, v, lambda m=m: () if m is None else list(m)) for w, v, m in zip(*b, strict=True)], dtype=object)
+
+    distinct = words.select(F.col(column).alias("word")).where(F.col("word").rlike(LETTERS)).distinct()
+    distinct = distinct.withColumn("low", _lower(F.col("word"))).join(known.select("low", F.lit(True).alias("valid")), "low", "left")
+    distinct = distinct.select("word", "low", F.coalesce("valid", F.lit(False)).alias("valid"))
+    unknown = distinct.where("not valid").select("low").distinct()
+    keyed = unknown.repartition(tasks(words), "low").select("low", F.explode(_keys(F.col("low"))).alias("x")).select("low", F.xxhash64("x").alias("key"))
+    of_known = known.select("low").repartition(tasks(words), "low").select(F.col("low").alias("known"), F.explode(_keys(F.col("low"))).alias("x")).select("known", F.xxhash64("x").alias("key"))
+    maybe = keyed.join(of_known, "key").groupBy("low").agg(F.collect_set("known").alias("maybe"))
+    return distinct.join(maybe, "low", "left").withColumn("correction", fix("word", "valid", "maybe")).where("word <> correction").select("word", "correction")
+
+
 def pieces(t: Column) -> Column:
     """t cut into runs of word characters and of others; joined again they are t."""
     return F.regexp_extract_all(t, F.lit(r"(?U)\w+|\W+"), F.lit(0))

@@ -180,10 +180,9 @@ def ag_learned_words(spark, d):
 
 @query()
 def op_spelling(spark, d):
-    """Corrections of all words of conversations; the 2000 most frequent words of 4 letters and more are known (a bounded list)."""
+    """Corrections of all words of conversations; every word that stands twice or more is known."""
     w = read(spark, d, "conversations").select(F.explode(spelling.pieces(F.col("text"))).alias("word"))
-    known = w.select(F.lower("word").alias("word")).where("word rlike '^[a-z]{4,}$'").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(2000)
-    return spelling.corrections(w, spelling.Lexicon({r["word"]: r["n"] for r in known.collect()}))
+    return spelling.corrections_from(w, spelling.known_words(w))
 
 
 @query(rf"""WITH s AS (SELECT unnest(regexp_split_to_array(regexp_replace({PLAIN}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents), w AS (SELECT regexp_extract_all(s, '[A-Za-z0-9_]+') AS ws FROM s),

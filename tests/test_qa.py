@@ -10,6 +10,7 @@ from folioscope.functions import layout as L
 from folioscope.functions import questions as Q
 from folioscope.functions import scores as C
 from folioscope.operators import answer, chunk, learning, merge, spelling, threads
+from folioscope.plans.registry import QUERIES
 from folioscope.sources import html, readers, sinks
 
 
@@ -121,6 +122,16 @@ def test_spelling(spark):
     assert got == {1: ("The house, the end.", 3), 2: ("", 0), 3: (None, 0)}
 
 
+def test_spelling_of_all_words(spark, tmp_path):
+    known = [f"{a}{b}{c}ing{d}" for a in "bdfgk" for b in ("ra", "lo", "umi", "ent") for c in "mnprstvz" for d in "aeioumprstvxyzwq"]  # 2560 words
+    texts = [(k, 0, "user", f"the {w} {w.upper()} the") for k, w in enumerate(known)] + [(-1, 0, "user", "Teh zzqqxxjj braming\u00e9s"), (-2, 0, "user", None)]
+    spark.createDataFrame(texts, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["word"]: r["correction"] for r in QUERIES["op_spelling"](spark, str(tmp_path)).collect()}
+    whole = spelling.Corrector(spelling.Lexicon(dict.fromkeys([*known, "the"], 2)))
+    want = {w: whole.correct(w) for w in (*known, "the", "Teh", "zzqqxxjj", "braming\u00e9s")}
+    assert got == {w: c for w, c in want.items() if w != c} and got["Teh"] == "The" and set(got) <= {"Teh", "braming\u00e9s"}
+
+
 def test_ratios():
     for a, b in (("abcde", "abxde"), ("", ""), ("abc", ""), ("kitten", "sitting"), ("aab", "baa")):
         n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
