@@ -3,9 +3,11 @@
 Personalised PageRank starts from trusted hosts along links and, on reversed
 links, from blocked hosts: what links to a blocked host shares its distrust.
 Hosts whose distrust outweighs their trust by a ratio are blocked. Links are
-absolute links in the pages and, both ways, a host's tie to its parent domain.
-The graph and all ranks are DataFrames; every few steps they are written to the
-shared folder.
+absolute links in the pages and, both ways, the tie of a host and of each domain
+above it to its parent domain. Steps go on until no rank changes by more than a
+small part of itself: verdicts compare ranks of a host with each other, so ranks of
+hosts far from all seeds count as well, however small. The graph and all ranks are
+DataFrames; every few steps they are written to the shared folder.
 
 Cases: a null url or one without :// has an empty host and path, fits no rule
 and is allowed; null html has no links; hosts of no evidence are allowed; links
@@ -23,6 +25,8 @@ from .common import ascii_lower, materialise
 
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
+ADDRESS = r"\.[0-9]+(:[0-9]*)?$"
+
 
 def host_of(url: Column) -> Column:
     return F.coalesce(ascii_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
@@ -43,19 +47,26 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst and weight, from pages' links and from hosts' parent domains."""
+    """src, dst and weight, from pages' links and from the parent domains of hosts and of these in turn."""
     links = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))).alias("dst"))
     links = links.select("src", ascii_lower(F.col("dst")).alias("dst")).where((F.col("src") != F.col("dst")) & (F.col("src") != ""))
     links = links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = pages.select("host").union(links.select("dst")).where("host <> ''").distinct()
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    hosts = hosts.select(F.explode(F.when(F.col("host").rlike(ADDRESS), F.array("host")).otherwise(above)).alias("host")).distinct()
     parent = F.regexp_extract("host", r"^[^.]+\.([^.]+\..+)$", 1)
     ties = hosts.select(F.col("host").alias("src"), parent.alias("dst")).where("dst <> ''")
     both = ties.union(ties.select("dst", "src")).withColumn("weight", F.lit(1.0))
     return links.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, steps: int = 8, every: int = 4) -> DataFrame:
-    """host, trust and distrust. seeds: host, trust and distrust, the weights from which the two walks restart."""
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6, every: int = 4) -> DataFrame:
+    """host, trust and distrust. seeds: host, trust and distrust, the weights from which the two walks restart.
+
+    It ends when every steps change no rank by more than tolerance times the rank,
+    so that all hosts that a seed reaches have theirs.
+    """
     kinds = (("trust", "src", "dst"), ("distrust", "dst", "src"))
     total = seeds.agg(*(F.sum(k).alias(k) for k, _, _ in kinds)).first()
     start = seeds.select("host", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), (F.col(k) / F.lit(float(total[k] or 1))).alias("r")) for k, _, _ in kinds))).alias("s")).select("host", "s.*").where("r > 0")
@@ -67,11 +78,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, step
         walk = part if walk is None else walk.union(part)
     walk = materialise(walk, "url-walk")
     ranks = start
-    for step in range(1, steps + 1):
-        moved = walk.join(ranks, ["kind", "host"]).select(F.col("to").alias("host"), "kind", (F.col("p") * F.col("r") * damping).alias("r"))
-        ranks = moved.union(start.select("host", "kind", (F.col("r") * (1 - damping)).alias("r"))).groupBy("host", "kind").agg(F.sum("r").alias("r"))
-        if step % every == 0:
-            ranks = materialise(ranks, "url-ranks")
+    settled = False
+    while not settled:
+        before = ranks.withColumnRenamed("r", "was")
+        for _ in range(every):
+            moved = walk.join(ranks, ["kind", "host"]).select(F.col("to").alias("host"), "kind", (F.col("p") * F.col("r") * damping).alias("r"))
+            ranks = moved.union(start.select("host", "kind", (F.col("r") * (1 - damping)).alias("r"))).groupBy("host", "kind").agg(F.sum("r").alias("r"))
+        ranks = materialise(ranks, "url-ranks")
+        change = F.abs(F.col("r") - F.coalesce("was", F.lit(0.0)))
+        settled = ranks.join(before, ["host", "kind"], "left").where(change > tolerance * F.col("r")).isEmpty()
     both = {k: F.sum(F.when(F.col("kind") == k, F.col("r")).otherwise(0.0)).alias(k) for k, _, _ in kinds}
     return ranks.groupBy("host").agg(*both.values())
 

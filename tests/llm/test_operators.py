@@ -147,6 +147,29 @@ def test_urls(spark):
     assert urls.judge(pages.where("false"), rules).count() == 0
 
 
+def test_urls_far_from_seeds(spark):
+    chain = [f"h{k}.org" for k in range(14)]  # h13 links to h12 and so on to h0, which is blocked
+    rows = [(k, f"http://{h}/", f"<a href='http://{chain[k - 1]}/'>" if k else "") for k, h in enumerate(chain)]
+    rows += [(20, "http://good.com/", "<a href='http://h13.org/'><a href='http://h5.org/'>"), (21, "http://bad.net/", ""), (22, "http://m.x.bad.net/", ""), (23, "http://10.0.0.1/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: r for r in urls.judge(pages, (("block", "h0.org/"), ("block", "bad.net/"), ("allow", "good.com/")), ratio=1.5).collect()}
+    links = [(chain[k], chain[k - 1]) for k in range(1, 14)] + [("good.com", "h13.org"), ("good.com", "h5.org")]
+    for a, b in (("m.x.bad.net", "x.bad.net"), ("x.bad.net", "bad.net"), ("10.0.0.1", "0.0.1")):
+        links += [(a, b), (b, a)]
+    names = sorted({x for e in links for x in e})
+    seeds = {"trust": {"good.com": 1.0}, "distrust": {"h0.org": 1.0, "bad.net": 1.0, "m.x.bad.net": 1.0}}  # bad.net/ fits m.x.bad.net too
+    for kind, edges in (("trust", links), ("distrust", [(b, a) for a, b in links])):
+        step, start = np.zeros((len(names), len(names))), np.array([seeds[kind].get(n, 0.0) for n in names])
+        for a, b in edges:
+            step[names.index(a), names.index(b)] = 1 / sum(x == a for x, _ in edges)
+        want = np.linalg.solve(np.eye(len(names)) - 0.85 * step.T, 0.15 * start / start.sum())
+        for n, w in zip(names, want, strict=True):
+            assert n not in got or math.isclose(got[n][kind], w, rel_tol=1e-4, abs_tol=1e-300)
+    assert got["h13.org"].distrust > 0 and got["h0.org"].verdict == "block" and got["h9.org"].verdict == ("block" if got["h9.org"].distrust > 1.5 * got["h9.org"].trust else "allow")
+    ties = {(r.src, r.dst) for r in urls.host_edges(spark.createDataFrame([("m.x.bad.net", "")], "host string, html string")).collect()}
+    assert ties == {("m.x.bad.net", "x.bad.net"), ("x.bad.net", "m.x.bad.net"), ("x.bad.net", "bad.net"), ("bad.net", "x.bad.net")}
+
+
 def test_mixing(spark, docs):
     taken, sources = mixing.shares(docs)
     got = taken.collect()
