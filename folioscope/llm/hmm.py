@@ -2,16 +2,16 @@
 
 States emit word classes and a class emits its words: P(w | state) is
 P(class | state) * (c + 1) / (N_class + V_class + 1), c the word's count in
-training, the last 1 a share for words never seen. The commonest words are
-classes of their own; others share a class by a hash of their last three bytes;
-a text's end is a token and a class. Counts cover every training text.
-Baum-Welch starts from a bounded sample (an initial guess) and then takes passes
-over all training texts, whose expected counts are summed across partitions;
-texts are cut into blocks of BLOCK tokens there. Scores come from the scaled
+training, the last 1 a share for words never seen. Words from a fixed count on are
+classes of their own, so classes grow with the counted vocabulary; others share as
+many classes by a hash of their last three bytes; a text's end is a token and a
+class. Counts cover every training text. Baum-Welch starts from these counts and
+takes passes over all training texts until their likelihood settles; expected counts
+are summed across partitions; texts are cut into blocks of BLOCK tokens there. Scores come from the scaled
 forward recursion over each whole, uncut text, so they are exact likelihoods.
 
-Words that are not among the commonest are looked up by a shuffle join with the
-table of counts, so no table of the vocabulary is ever sent around.
+Words that are not among the commonest (nor classes of their own) are looked up by
+a shuffle join with the table of counts, so the whole vocabulary is never sent around.
 
 Cases: a null text is empty: one end token; null ids are trained on; ties of
 counts are ordered by the word; repeated rows count as often as they stand;
@@ -117,10 +117,10 @@ def log10_likelihoods(texts: list[np.ndarray], model: Hmm) -> np.ndarray:
 
 
 def expected(texts: list[np.ndarray], model: Hmm) -> np.ndarray:
-    """Expected starts, steps and emissions (as flat()) of texts cut into blocks."""
+    """Rows of states: expected starts, steps and emissions of texts cut into blocks, then their log-likelihood (first of its row)."""
     states, classes = len(model.start), len(model.emit)
     starts_, steps, emits = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
-    blocks, first = [], []
+    blocks, first, likelihood = [], [], np.zeros((1, states))
     for t in texts:
         blocks += [t[k : k + BLOCK] for k in range(0, len(t), BLOCK)]
         first += [k == 0 for k in range(0, len(t), BLOCK)]
@@ -138,6 +138,7 @@ def expected(texts: list[np.ndarray], model: Hmm) -> np.ndarray:
             c = a.sum(axis=1)
             a /= c[:, None]
             alpha[s], scale[s] = a, c
+        likelihood[0, 0] += np.log(scale).sum()
         beta, gamma = np.ones((0, states)), alpha
         for k in range(len(starts) - 2, -1, -1):
             s = slice(starts[k], starts[k + 1])
@@ -154,12 +155,12 @@ def expected(texts: list[np.ndarray], model: Hmm) -> np.ndarray:
         starts_ += gamma[: starts[1]][[bool(first[i]) for i in part]].sum(axis=0)
         for k in range(states):
             emits[:, k] += np.bincount(flat, weights=gamma[:, k], minlength=classes)
-    return np.concatenate([starts_, steps.ravel(), emits.ravel()])
+    return np.concatenate([starts_[None], steps, emits, likelihood])
 
 
 def maximised(counts: np.ndarray, states: int, prior: np.ndarray) -> Hmm:
     """The model that expected counts give, each class with a little of its share beforehand."""
-    start, step, emit = counts[:states] + 1, counts[states : states + states**2].reshape(states, states) + 1, counts[states + states**2 :].reshape(-1, states)
+    start, step, emit = counts[0] + 1, counts[1 : states + 1] + 1, counts[states + 1 :]
     emit = emit + (prior[:, None] + 1e-7) * 20
     return Hmm(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
@@ -179,23 +180,28 @@ def count_words(docs: DataFrame) -> DataFrame:
     return materialise(docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
 
 
-def score(docs: DataFrame, *, held_out: Column, states: int = 8, own_classes: int = 1023, classes: int = 2048, lookup_words: int = 150_000, sample: int = 1200, warm: int = 8, passes: int = 2) -> DataFrame:
+def score(docs: DataFrame, *, held_out: Column, states: int = 8, own_from: int = 20, own_classes: int | None = None, classes: int | None = None, lookup_words: int = 150_000, tolerance: float = 1e-4, passes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; it learns from rows not held out.
 
-    lookup_words bounds the counts that are sent to tasks; sample bounds the texts
-    of the initial guess; passes are over all texts learnt from.
+    Words that stand own_from times are classes of their own, and there are twice as
+    many classes; passes end when one raises the log-likelihood by less than tolerance
+    of it. own_classes, classes and passes fix these numbers instead. lookup_words
+    bounds the counts of other words that are sent to tasks.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     counts = count_words(rows.where("not held_out"))
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    common = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(lookup_words).toArrow()
+    if own_classes is None:
+        own_classes = counts.where((F.col("c") >= own_from) & (F.col("word") != F.lit(END))).count()
+    classes = classes or 2 * (own_classes + 1)
+    common = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(max(lookup_words, own_classes)).toArrow()
     ends = counts.where(F.col("word") == F.lit(END)).select("c").collect()
     common_words, common_counts = common["word"].to_pylist(), common["c"].to_pylist()
     own = min(own_classes, len(common_words))
     model_classes = Classes(own, classes, dict(zip(common_words, common_counts, strict=True)) | {END: ends[0][0] if ends else 0}, {w: k + 1 for k, w in enumerate(common_words[:own])})
-    sent = spark.sparkContext.broadcast(model_classes)  # lookup_words entries at most
+    sent = spark.sparkContext.broadcast(model_classes)  # the larger of lookup_words and own classes
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, n, v = sent.value.of, np.zeros(classes, np.int64), np.zeros(classes, np.int64)
@@ -225,8 +231,8 @@ def score(docs: DataFrame, *, held_out: Column, states: int = 8, own_classes: in
                 starts, n = bounds[:-1], len(texts)
                 rare = np.flatnonzero((c < 0)[codes])
                 cuts = np.searchsorted(rare, bounds).astype(np.int32)
-                raw = k.astype("<u2")[codes]
-                ends = pa.py_buffer((bounds * 2).astype(np.int32))
+                raw = k.astype("<u4")[codes]
+                ends = pa.py_buffer((bounds * 4).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
                     b.column("doc_id").slice(done, n), b.column("held_out").slice(done, n), pa.array(np.diff(bounds).astype(np.int64)),
                     pa.array(np.add.reduceat((c > 0).astype(np.int64)[codes], starts)), pa.array(np.add.reduceat(np.log10(np.maximum(c, 0) + 1.0)[codes], starts)),
@@ -240,13 +246,10 @@ def score(docs: DataFrame, *, held_out: Column, states: int = 8, own_classes: in
 
     # Baum-Welch
     learnt = table.where("not held_out")
-    first = learnt.select("row", "k").orderBy(F.xxhash64("row"), "row").limit(sample).toArrow()["k"].to_pylist()
+    some = not learnt.isEmpty()
     model = Hmm.guess(states, prior)
-    guess_from = [np.frombuffer(x, "<u2").astype(np.int64) for x in first]
-    for _ in range(warm if first else 0):
-        model = maximised(expected(guess_from, model), states, prior)
-
-    for _ in range(passes if first else 0):
+    done, reached = 0, -math.inf
+    while some and (passes is None or done < passes):
         now = spark.sparkContext.broadcast(model)
 
         def gather(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
@@ -254,26 +257,31 @@ def score(docs: DataFrame, *, held_out: Column, states: int = 8, own_classes: in
             for b in tidied(batches):
                 part, size = [], 0
                 for x in b.column("k"):
-                    part.append(np.frombuffer(x.as_py(), "<u2").astype(np.int64))
+                    part.append(np.frombuffer(x.as_py(), "<u4").astype(np.int64))
                     size += len(part[-1])
                     if size > 1_500_000:
                         total, part, size = total + expected(part, now.value), [], 0
                 if part:
                     total = total + expected(part, now.value)
             if not isinstance(total, float):
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "v"])
-
-        got = learnt.select("k").mapInArrow(gather, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-        total = np.zeros(states + states**2 + classes * states)
-        total[got["i"].to_numpy()] = got["v"].to_numpy()
-        model = maximised(total, states, prior)
+                at = np.flatnonzero(total.any(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, k]) for k in range(states))], names=["i", *(f"v{k}" for k in range(states))])
+
+        names = [f"v{k}" for k in range(states)]
+        got = learnt.select("k").mapInArrow(gather, "i long, " + ", ".join(f"{n} double" for n in names)).groupBy("i").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+        total = np.zeros((1 + states + classes + 1, states))
+        total[got["i"].to_numpy()] = np.stack([got[n].to_numpy() for n in names], axis=1)
+        model = maximised(total[:-1], states, prior)
+        now.unpersist()
+        done, before, reached = done + 1, reached, total[-1, 0]
+        if passes is None and reached - before <= tolerance * abs(reached):
+            break
 
     final = spark.sparkContext.broadcast(model)
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tidied(batches):
-            texts = [np.frombuffer(x.as_py(), "<u2") for x in b.column("k")]
+            texts = [np.frombuffer(x.as_py(), "<u4") for x in b.column("k")]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(log10_likelihoods(texts, final.value))], names=[*b.schema.names[:-1], "path"])
 
     plain = table.drop("rare")

@@ -138,6 +138,17 @@ def test_hmm(spark, docs):
         assert math.isclose(x, math.log10(total), rel_tol=1e-9)
 
 
+def test_hmm_grows_with_words(spark):
+    r = np.random.default_rng(5)
+    topics = [[f"{a}{k}x" for k in range(700)] for a in "pq"]  # 1400 words, each about 37 times, with no suffix that tells topics apart
+    rows = [(k, " ".join(topics[k % 2][j] for j in r.integers(0, 700, 40))) for k in range(1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({x.doc_id: x for x in hmm.score(docs.repartition(n, "doc_id"), held_out=F.col("doc_id") >= 1250).collect()} for n in (1, 5))
+    assert all(math.isclose(one[i].score, two[i].score, rel_tol=1e-6) for i in one)  # whatever the layout
+    gain = [one[i].score - one[i].base_score for i in range(1250, 1300)]
+    assert sum(gain) / len(gain) > 0.8 * 40 * math.log10(2)  # knowing the topic halves the choice, for all 1400 words
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://A.Example.com/en/7x?q", None), (2, "http://b.example.net/de/8", "<a href='//a.example.com/x'>"), (3, None, ""), (4, "no scheme", ""), (5, "x://com/en/", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
