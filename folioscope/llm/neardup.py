@@ -2,9 +2,9 @@
 
 Texts are sets of n-word shingles (lower-cased A-Z, words between ASCII white
 space; fewer words make one shingle). Each distinct text gets trees * depth
-minima. A tree's prefix trie sorts texts by its minima, and prefixes are
-shortened from full depth until the chance that two texts at the threshold meet
-in some tree reaches the target recall. Texts that meet are linked to leaders
+minima. Texts meet where a tree's first minima are equal; how many of them is
+fixed beforehand (banding), the most by which the chance that two texts at the
+threshold meet in some tree reaches the target recall. Texts that meet are linked to leaders
 of their node by their estimated likeness; connected texts are compared exactly
 in blocks of bounded size, which report counts of links and a spanning forest of
 them, never all pairs. Components of that forest are the classes.
