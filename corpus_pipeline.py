@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing sources to target weights", mixed),
     ("token-ID / binary output", token_files),
 ]
-#: Trained, searched and tokenised stages have no SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
+#: Trained, searched and tokenised stages have no SQL. tests/llm tests the operators; no test runs the composed stages.
 ORACLE_SQL = None
 
 
