@@ -46,13 +46,45 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: it cuts lineage and outlives executors."""
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this process has materialised; results that were not yet read are lost with them."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of the largest table that is sent to all executors; beyond, a shuffle join.
+SENT_ROWS = 1_000_000
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """A materialised table of narrow rows, marked for broadcast where its counted size allows that.
+
+    Beyond, the join shuffles both sides as they are read, so that adaptive
+    planning can split what is hot on the other side.
+    """
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
+def free_of(df: DataFrame, *names: str) -> None:
+    """Raise where df has a column that an operator is to add."""
+    have = {c.lower() for c in df.columns}
+    clash = [n for n in names if n.lower() in have]
+    if clash:
+        raise ValueError(f"columns {clash} are there already: rename them or give other names")
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Let Arrow batches to Python hold so many rows at most, so that workers stay small."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -120,5 +152,6 @@ def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A row's identity where ids may repeat: rows that share it have the same id and text."""
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    """A row's identity where ids may repeat, 128 bits: rows that share it have the same id and text."""
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.lit("\x01"), text).cast("binary")))

@@ -111,7 +111,7 @@ def sketch(docs: DataFrame, n: int, forest: Forest) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(nodes)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tk"), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), lists, pa.array(sigs, pa.binary())], names=["doc_id", "tk", "digest", "n", "nodes", "sig"])
 
-    schema = docs.select("doc_id").schema.add("tk", "long").add("digest", "binary").add("n", "long").add("nodes", ArrayType(LongType())).add("sig", "binary")
+    schema = docs.select("doc_id").schema.add("tk", "binary").add("digest", "binary").add("n", "long").add("nodes", ArrayType(LongType())).add("sig", "binary")
     return materialise(docs.select("doc_id", text_key().alias("tk"), "text").mapInArrow(run, schema), "near-sketch")
 
 

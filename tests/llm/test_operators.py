@@ -126,16 +126,31 @@ def test_hmm(spark, docs):
     assert all(r.train_tokens == n and r.score < 0 for r in got)
     # the forward recursion against all paths
     r = np.random.default_rng(0)
-    model = hmm.Hmm(np.array([0.3, 0.7]), np.array([[0.6, 0.4], [0.1, 0.9]]), r.dirichlet(np.ones(5), 2).T)
-    seqs = [r.integers(0, 5, k) for k in (1, 4, 7)]
+    model = (np.array([0.3, 0.7]), np.array([[0.6, 0.4], [0.1, 0.9]]), r.dirichlet(np.ones(5), 2).T)
+    seqs = [r.integers(0, 5, k) for k in (1, 4, 7, 4)]
+    start, step, emit = model
+    firsts, steps, emits, logs = np.zeros(2), np.zeros((2, 2)), np.zeros((5, 2)), 0.0
     for s, x in zip(seqs, hmm.log10_likelihoods(seqs, model), strict=True):
-        total = 0
+        weight = {}
         for path in np.ndindex(*[2] * len(s)):
-            p = model.start[path[0]] * model.emit[s[0], path[0]]
+            p = start[path[0]] * emit[s[0], path[0]]
             for a, b, o in zip(path[:-1], path[1:], s[1:], strict=True):
-                p *= model.step[a, b] * model.emit[o, b]
-            total += p
+                p *= step[a, b] * emit[o, b]
+            weight[path] = p
+        total = sum(weight.values())
         assert math.isclose(x, math.log10(total), rel_tol=1e-9)
+        logs += math.log(total)
+        for path, p in weight.items():
+            firsts[path[0]] += p / total
+            for a, b in zip(path[:-1], path[1:], strict=True):
+                steps[a, b] += p / total
+            for o, a in zip(s, path, strict=True):
+                emits[o, a] += p / total
+    for most in (1, 2, 5, 1000):  # however few messages are held at once, texts are not cut
+        got = hmm.expected(seqs, model, most)
+        assert np.allclose(got[0], firsts) and np.allclose(got[1:3], steps) and np.allclose(got[3:8], emits) and math.isclose(got[8, 0], logs)
+    new = hmm.maximised(got[:-1], 2, np.full(5, 0.2))
+    assert sum(hmm.log10_likelihoods(seqs, new)) > logs / math.log(10)
 
 
 def test_hmm_grows_with_words(spark):
