@@ -1,40 +1,46 @@
-"""N-gram Jaccard join with a MinHash forest, then exact verification.
+"""N-gram Jaccard join with a MinHash LSH forest, then exact verification.
 
 Texts are sets of n-word shingles (lower-cased A-Z, words between ASCII white
-space; fewer words make one shingle). Each distinct text gets trees * depth
-minima. Texts meet where a tree's first minima are equal; how many of them is
-fixed beforehand (banding), the most by which the chance that two texts at the
-threshold meet in some tree reaches the target recall. Texts that meet are linked to leaders
-of their node by their estimated likeness; connected texts are compared exactly
-in blocks of bounded size, which report counts of links and a spanning forest of
-them, never all pairs. Components of that forest are the classes.
-
-Losslessness of leaders: a text joins a leader's ball at estimate 0.7 and is
-linked to every leader from 0.32, which is what likeness 0.8 to a text of the
-ball leaves by the triangle inequality, after three standard errors. Large nodes
-are salted into parts whose leaders are all linked.
+space; fewer words make one shingle). Each distinct text has a signature of depth
+minima in each tree. A tree is a trie of its sorted signatures. Each text's search
+starts at its whole signatures and shortens the matched prefix until the chance to
+meet any text that it can be linked to reaches the target recall: the least
+likeness at or above the threshold that a set of its size can have sets how far, so
+small sets stop at longer prefixes. What shares the prefix are its candidates.
+
+Candidates are never listed as pairs. In each trie node a text joins the first
+leader that it is like (estimate 0.7 and more) and is linked to all leaders from
+0.32, which is what likeness 0.8 to a text of the leader's ball leaves by the
+triangle inequality, after three standard errors. A text's home is one of the
+leaders that it joined; what is linked to a leader of a home's texts is compared
+exactly with the home's texts, in blocks of bounded size. Blocks report counts of
+links and trees of bounded degree that connect what is linked, never all pairs.
+Components of these trees are the classes. Nodes of many texts are salted into
+parts before they are shuffled; a second pass links their texts to leaders of
+other parts.
 
 Cases: texts without words have no shingles, are alone and have no links; exact
 copies (equal words) are one text; rows that repeat id and text count as copies;
-null ids are kept and never name a class unless all its ids are null.
+null ids are kept and never name a class unless all its ids are null; further
+columns are not touched; an empty table gives no rows; a text of any length is a
+set of shingles in one task.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import array_slices, coded_words, materialise, small_batches, text_key, tidied
+from .common import array_slices, coded_words, materialise, sent, small_batches, text_key, tidied
 
-#: Rows of the largest table that is sent to all executors; beyond, a shuffle join.
-SENT_ROWS = 1_000_000
 #: Shingles and texts of a block of exact comparison.
 BLOCK_SHINGLES, BLOCK_TEXTS = 2_000_000, 1024
 #: Members of a forest node beyond which it is salted.
@@ -42,14 +48,23 @@ NODE = 4096
 JOIN, LINK = 0.7, 0.32
 
 
-def depth_for(threshold: float, trees: int, most: int, target: float) -> int:
-    """The longest prefix by which texts at the threshold meet in some tree with chance target."""
+def depth_for(likeness: float, trees: int, most: int, target: float) -> int:
+    """The longest prefix by which texts of that likeness meet in some tree with chance target."""
     d = most
-    while d > 1 and 1 - (1 - threshold**d) ** trees < target:
+    while d > 1 and 1 - (1 - likeness**d) ** trees < target:
         d -= 1
     return d
 
 
+@functools.lru_cache(maxsize=4096)
+def least_likeness(n: int, num: int, den: int) -> float:
+    """The least likeness, num / den or more, of a set of n elements and any other set; 1 where only equal sets reach it."""
+    if n * (den - num) >= den * num:
+        return num / den
+    unions = range(max(1, n), n * den // num + 1)
+    return min((c / u for u in unions if (c := -(-num * u // den)) <= n and not c == u == n), default=1.0)
+
+
 def word_hashes(texts: pa.Array) -> list[np.ndarray]:
     """64-bit hashes of each text's words, in order."""
     words, codes, bounds = coded_words(texts)
@@ -73,11 +88,11 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class Forest:
-    def __init__(self, trees: int, depth: int, prefix: int) -> None:
+    def __init__(self, trees: int, depth: int, base: int) -> None:
         r = np.random.default_rng(20)
-        self.trees, self.depth, self.prefix = trees, depth, prefix
+        self.trees, self.depth, self.base = trees, depth, base
         self.a = r.integers(1 << 63, size=trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.mix = r.integers(1 << 63, size=(trees, prefix), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.mix = r.integers(1 << 63, size=(trees, base), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def minima(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(self.a), np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -86,32 +101,39 @@ class Forest:
         return out >> np.uint64(32)
 
     def nodes(self, minima: np.ndarray) -> np.ndarray:
-        """The prefix's node in each tree, as one number."""
-        m = minima.reshape(self.trees, self.depth)[:, : self.prefix]
+        """Of each tree, the trie node of the shortest prefix that any search comes down to, as one number."""
+        m = minima.reshape(self.trees, self.depth)[:, : self.base]
         x = (m * self.mix).sum(axis=1, dtype=np.uint64) + np.arange(self.trees, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
         x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
         return (x ^ x >> np.uint64(30)).view(np.int64)
 
+    def below(self, minima: np.ndarray) -> bytes:
+        """Of each tree, the minima below that node, in bytes that sort as they do."""
+        return minima.reshape(self.trees, self.depth)[:, self.base :].astype(">u4").tobytes()
 
-def sketch(docs: DataFrame, n: int, forest: Forest) -> DataFrame:
-    """doc_id, tk (the row's key), digest (of its words), n (shingles), nodes and sig of each row, as a table."""
+
+def sketch(docs: DataFrame, n: int, forest: Forest, wanted) -> DataFrame:
+    """doc_id, tk (the row's key), digest (of its words), n (shingles), depth (wanted of n), nodes, below and sig of each row, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tidied(batches):
-            digests, counts, nodes, sigs = [], [], [], []
+            digests, counts, depths, nodes, below, sigs = [], [], [], [], [], []
             for texts in array_slices(b.column("text")):
                 for h in word_hashes(texts):
                     x = shingles(h, n)
                     digests.append(hashlib.md5(h).digest())
                     counts.append(len(x))
+                    depths.append(wanted(len(x)))
                     m = forest.minima(x)
                     nodes.append(forest.nodes(m) if len(x) else np.empty(0, np.int64))
+                    below.append(forest.below(m))
                     sigs.append(m.astype(np.uint8).tobytes())
             ends = np.cumsum([0, *map(len, nodes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(nodes)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tk"), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), lists, pa.array(sigs, pa.binary())], names=["doc_id", "tk", "digest", "n", "nodes", "sig"])
+            columns = {"doc_id": b.column("doc_id"), "tk": b.column("tk"), "digest": pa.array(digests, pa.binary()), "n": pa.array(counts, pa.int64()), "depth": pa.array(depths, pa.int32()), "nodes": lists, "below": pa.array(below, pa.binary()), "sig": pa.array(sigs, pa.binary())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    schema = docs.select("doc_id").schema.add("tk", "binary").add("digest", "binary").add("n", "long").add("nodes", ArrayType(LongType())).add("sig", "binary")
+    schema = docs.select("doc_id").schema.add("tk", "binary").add("digest", "binary").add("n", "long").add("depth", "integer").add("nodes", ArrayType(LongType())).add("below", "binary").add("sig", "binary")
     return materialise(docs.select("doc_id", text_key().alias("tk"), "text").mapInArrow(run, schema), "near-sketch")
 
 
@@ -137,64 +159,88 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield now, held
 
 
-def lead(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Edges from leaders of each node's part to its members, and (b < 0: its key) leaders of salted nodes."""
-    a_out, b_out = [], []
-
-    def sent() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(k_out, pa.int64())], names=["a", "b", "node"])
-        a_out.clear(), b_out.clear(), k_out.clear()
-        return out
-
-    k_out: list[int | None] = []
-    now, leaders, names = None, np.empty((0, width), np.uint8), []
-
-    def stream() -> Iterator[tuple[tuple, pa.RecordBatch]]:
-        for b in batches:  # never a whole group at once: a node's leaders are all that is kept of it
-            for key, parts in grouped(iter([b]), ["node", "part", "parts"]):
-                for p in parts:
-                    yield key, p
-
-    for key, rows in stream():
-        if key != now:
-            now, leaders, names = key, np.empty((0, width), np.uint8), []
-        ids = rows.column("uid").to_numpy()
-        sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(ids), width)
-        free = np.ones(len(ids), bool)
-
-        def compare(leader: np.ndarray, name: int, free: np.ndarray, ids: np.ndarray = ids, sigs: np.ndarray = sigs, start: int = 0) -> None:
-            like = ((sigs[start:] == leader).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            near = np.flatnonzero(like >= LINK) + start
-            near = near[free[near]]
-            a_out.extend([name] * len(near))
-            b_out.extend(ids[near].tolist())
-            k_out.extend([None] * len(near))
-            free[near[like[near - start] >= JOIN]] = False
-
-        for leader, name in zip(leaders, names, strict=True):
-            compare(leader, name, free)
-        for i in range(len(ids)):
-            if free[i]:
-                free[i] = False
-                compare(sigs[i], int(ids[i]), free, start=i + 1)
-                leaders = np.vstack([leaders, sigs[i : i + 1]])
-                names.append(int(ids[i]))
-                if key[2] > 1:
-                    a_out.append(int(ids[i]))
-                    b_out.append(None)
-                    k_out.append(key[0])
-        if len(a_out) > 50_000:
-            yield sent()
-    yield sent()
-
-
-def contracted(edges: DataFrame) -> DataFrame:
-    """Fewer edges that connect the same: each member b keeps its least leader a, which its other leaders are tied to.
-
-    A member has at most the leaders of one node in each tree, so its window is small.
-    """
-    e = materialise(edges.distinct().withColumn("m", F.min("a").over(Window.partitionBy("b"))), "near-met")
-    return e.select("m", "b").union(e.select("m", "a")).toDF("a", "b").where("a <> b").distinct()
+def climbed(below: np.ndarray, depths: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
+    """Runs of sorted rows of a trie node that share the prefix down to which a text of the run shortens its own."""
+    runs = [(0, len(depths), base)]
+    while runs:
+        s, e, level = runs.pop()
+        if e - s < 2:
+            continue
+        if level - base == below.shape[1] or depths[s:e].min() <= level:
+            yield s, e
+        else:
+            x = below[s:e, level - base]
+            cuts = [s, *(np.flatnonzero(x[1:] != x[:-1]) + s + 1).tolist(), e]
+            runs += [(a, b, level + 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def likeness(sigs: np.ndarray, leader: np.ndarray) -> np.ndarray:
+    """Estimates from one byte of each minimum."""
+    return ((sigs == leader).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+
+
+EDGE = "a long, b long, joined boolean, node long"
+
+
+class Edges:
+    """Rows of EDGE, sent when there are enough."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, leader: int, texts: np.ndarray, joined: np.ndarray, node: int | None = None) -> None:
+        self.parts.append((np.full(len(texts), leader), texts, joined, np.full(len(texts), node if node is not None else 0), np.full(len(texts), node is None)))
+        self.held += len(texts)
+
+    def sent(self, least: int = 0) -> Iterator[pa.RecordBatch]:
+        if self.held > least:
+            a, b, joined, node, none = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            self.parts, self.held = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(joined), pa.array(node, mask=none)], names=["a", "b", "joined", "node"])
+
+
+def matrix(column: pa.ChunkedArray, dtype: str, rows: int) -> np.ndarray:
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, dtype).reshape(rows, -1) if raw else np.empty((rows, 0), dtype)
+
+
+def lead(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[pa.RecordBatch]:
+    """Of each trie node (or part of a salted one): leaders with the texts linked to them; leaders of salted nodes name the node."""
+    out = Edges()
+    for (node, _, parts), rows in grouped(batches, ["node", "part", "parts"]):
+        t = pa.Table.from_batches(rows)
+        ids, sigs = t["uid"].to_numpy(), matrix(t["sig"], "u1", t.num_rows)
+        runs = [(0, len(ids))] if parts > 1 else climbed(matrix(t["below"], ">u4", t.num_rows), t["depth"].to_numpy(), base)
+        for s, e in runs:
+            x, name, free = sigs[s:e], ids[s:e], np.ones(e - s, bool)
+            while free.any():
+                i = int(free.argmax())
+                like = likeness(x, x[i])
+                like[i] = 1.0
+                near = like >= LINK
+                joined = free & (like >= JOIN)
+                free &= ~joined
+                if parts > 1 or np.count_nonzero(near) > 1:
+                    out.add(int(name[i]), name[near], joined[near])
+                if parts > 1:
+                    out.add(int(name[i]), name[i : i + 1], np.zeros(1, bool), node)
+        yield from out.sent(50_000)
+    yield from out.sent()
+
+
+def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part of a salted node: all its leaders (they come first) with the part's texts linked to them."""
+    out = Edges()
+    for _, rows in grouped(batches, ["node", "part"]):
+        t = pa.Table.from_batches(rows)
+        ids, sigs, leads = t["uid"].to_numpy(), matrix(t["sig"], "u1", t.num_rows), t["leads"].to_numpy().astype(bool)
+        texts, x = ids[~leads], sigs[~leads]
+        for k in np.flatnonzero(leads):
+            near = likeness(x, sigs[k]) >= LINK
+            out.add(int(ids[k]), texts[near], np.zeros(np.count_nonzero(near), bool))
+            yield from out.sent(50_000)
+    yield from out.sent()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -203,10 +249,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     state = None
     for _ in range(most):
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        low = sent(materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "near-low"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        large = materialise(large, "near-large")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "near-low")
+        small = large.join(sent(low), "u")
         e = materialise(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "near-stars")
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
@@ -215,59 +262,94 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    """df (a table), marked for broadcast where its size is proven to allow that."""
-    return F.broadcast(df) if df.count() <= SENT_ROWS else df
-
-
 def verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """For each block pair: (a, b) of a spanning forest of its links, and (a, null, number of documents linked)."""
+    """For each block pair of a ball: (a, b) of trees that connect what is linked, and (a, null, number of documents linked) of home texts."""
 
-    def pairs(x: list[np.ndarray], block: np.ndarray, same: bool) -> np.ndarray:
-        size = np.array([len(v) for v in x])
+    def shared(x: list[np.ndarray], some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Common shingles of some of x and others of x."""
         _, column, seen = np.unique(np.concatenate(x), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(x)), size)
-        shared = seen > 1
-        number = np.cumsum(shared) - 1
-        row, column = row[shared[column]], number[column[shared[column]]]
+        row = np.repeat(np.arange(len(x)), [len(v) for v in x])
+        often = seen > 1
+        number = np.cumsum(often) - 1
+        row, column = row[often[column]], number[column[often[column]]]
         by = np.argsort(column, kind="stable")
         row, column = row[by], column[by]
-        common = np.zeros((len(x), len(x)), np.float32)
-        step = max(64, 6_000_000 // len(x))
-        for k in range(0, int(shared.sum()), step):
+        common = np.zeros((len(some), len(others)), np.int64)
+        step = max(64, 6_000_000 // len(x))  # below the numbers that float32 counts exactly
+        for k in range(0, int(often.sum()), step):
             lo, hi = np.searchsorted(column, [k, k + step])
             m = np.zeros((len(x), step), np.float32)
             m[row[lo:hi], column[lo:hi] - k] = 1
-            common += m @ m.T
-        linked = common * (num + den) >= num * (size[:, None] + size[None, :]) - 1e-3
-        np.fill_diagonal(linked, False)
-        return linked if same else linked & (block[:, None] != block[None, :])
+            common += (m[some] @ m[others].T).astype(np.int64)
+        return common
 
-    for (_, i, j), parts in grouped(batches, ["comp", "i", "j"]):
+    for (_, i, j), parts in grouped(batches, ["ball", "i", "j"]):
         t = pa.Table.from_batches(parts)
-        ids, first = np.unique(t["uid"].to_numpy(), return_index=True)
-        t = t.take(pa.array(first))
-        if len(ids) < 2:
+        t = t.take(pa.array(np.unique(t["uid"].to_numpy(), return_index=True)[1]))
+        x, ids, copies, home, asks = [np.frombuffer(v, np.uint64) for v in t["x"].to_pylist()], *(t[c].to_numpy() for c in ("uid", "copies", "home", "asks"))
+        some = np.flatnonzero(home.astype(bool) if i == j else asks.astype(bool))
+        others = np.flatnonzero(~asks.astype(bool))
+        if not len(some) or not len(others):
             continue
-        x = [np.frombuffer(v, np.uint64) for v in t["x"].to_pylist()]
-        linked, weight = pairs(x, t["block"].to_numpy(), i == j), t["copies"].to_numpy()
+        size = np.array([len(v) for v in x])
+        linked = shared(x, some, others) * (num + den) >= num * (size[some, None] + size[None, others])
+        linked &= ids[some, None] != ids[None, others]
         if not linked.any():
             continue
-        links = linked @ weight
-        seen, a, b = np.zeros(len(ids), bool), [], []
-        for s in range(len(ids)):
+        links = linked.astype(np.float64) @ copies[others]
+        near = np.zeros((len(x), len(x)), bool)
+        near[np.ix_(some, others)] = linked
+        near |= near.T
+        seen, a, b = np.zeros(len(x), bool), [], []
+        for s in np.flatnonzero(near.any(axis=1)):
             if seen[s]:
                 continue
-            seen[s], queue = True, [s]
+            seen[s], queue, met = True, [s], []
             while queue:
                 u = queue.pop()
-                new = np.flatnonzero(linked[u] & ~seen)
+                met.append(u)
+                new = np.flatnonzero(near[u] & ~seen)
                 seen[new] = True
-                a += [int(ids[u])] * len(new)
-                b += ids[new].tolist()
                 queue += new.tolist()
-        some = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array(a + ids[some].tolist(), pa.int64()), pa.array(b + [None] * len(some), pa.int64()), pa.array([0] * len(a) + links[some].tolist(), pa.int64())], names=["a", "b", "links"])
+            names = ids[met]
+            a += names[1:].tolist()
+            b += names[(np.arange(1, len(met)) - 1) // 2].tolist()
+        told = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(a + ids[some[told]].tolist(), pa.int64()), pa.array(b + [None] * len(told), pa.int64()), pa.array([0] * len(a) + links[told].astype(np.int64).tolist(), pa.int64())], names=["a", "b", "links"])
+
+
+def met_in_forest(texts: DataFrame, forest: Forest, parts: int) -> DataFrame:
+    """Rows of EDGE: leaders and what is linked to them in any trie node."""
+    member = texts.select("uid", F.posexplode("nodes").alias("tree", "node"))
+    full = member.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("uid")).alias("x")).where("size > 1")
+    full = full.groupBy("size", "x").agg(F.min("node").alias("node"))  # of nodes that hold the same texts, one
+    ways = F.when(F.col("size") > NODE, F.ceil(F.col("size") / F.lit(NODE / 2))).otherwise(1).cast("long")
+    full = materialise(full.select("node", ways.alias("parts")), "near-nodes")
+    width = 4 * (forest.depth - forest.base)
+    below = F.substring("below", F.col("tree") * width + 1, F.lit(width)).alias("below")
+    met = member.join(sent(full), "node").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
+    met = met.join(texts.select("uid", "depth", "sig", "below"), "uid").select("node", "part", "parts", "uid", "depth", below, "sig")
+    rows = met.repartition(parts, "node", "part").sortWithinPartitions("node", "part", "below", "uid")
+    led = materialise(rows.mapInArrow(lambda batches: lead(tidied(batches), forest.base), EDGE), "near-led")
+    edges = led.where("node is null")
+    if full.where("parts > 1").isEmpty():
+        return edges
+    leaders = led.where("node is not null").select("node", F.col("a").alias("uid")).join(sent(full), "node").join(texts.select("uid", "sig"), "uid")
+    leaders = leaders.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "uid", "sig", F.lit(1).alias("leads"))
+    rows = leaders.union(met.where("parts > 1").select("node", "part", "uid", "sig", F.lit(0))).repartition(parts, "node", "part").sortWithinPartitions("node", "part")
+    return edges.union(materialise(rows.mapInArrow(lambda batches: link(tidied(batches)), EDGE), "near-linked"))
+
+
+def balls(edges: DataFrame) -> DataFrame:
+    """ball, uid and home: what each home's texts (home: true) are to be compared with, as a table."""
+    joined = edges.where("joined").select("a", "b").distinct()
+    first = materialise(joined.groupBy("b").agg(F.min("a").alias("home")), "near-first")
+    nearer = first.select(F.col("b").alias("home"), F.col("home").alias("next"))
+    home = materialise(first.join(sent(nearer), "home", "left").select("b", F.coalesce("next", "home").alias("home")), "near-home")  # fewer homes of a family
+    of = materialise(joined.join(sent(home), "b").select("a", F.col("home").alias("ball")).distinct(), "near-of")
+    near = edges.select("a", "b").distinct().join(sent(of), "a").select("ball", "b").distinct()
+    near = near.join(sent(home), "b").select("ball", F.col("b").alias("uid"), (F.col("home") == F.col("ball")).alias("home"))
+    return materialise(near, "near-balls")
 
 
 def classes(docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4, 5), trees: int = 32, depth: int = 8, target: float = 0.999) -> DataFrame:
@@ -281,40 +363,36 @@ def classes(docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4
     num, den = similarity
     forest = Forest(trees, depth, depth_for(num / den, trees, depth, target))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = sketch(docs, words, forest)
-    texts = rows.where("n > 0").groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("nodes").alias("nodes"), F.first("sig").alias("sig"))
+    rows = sketch(docs, words, forest, lambda n: depth_for(least_likeness(n, num, den), trees, depth, target))
+    of_text = [F.first(c).alias(c) for c in ("n", "depth", "nodes", "below", "sig")]
+    texts = rows.where("n > 0").groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min("tk").alias("tk"), *of_text)
     texts = materialise(texts.withColumn("uid", F.monotonically_increasing_id()), "near-texts")
+    near = balls(met_in_forest(texts, forest, parts))
 
-    # nodes of more than one text; of nodes that hold the same texts, one
-    member = texts.select(F.explode("nodes").alias("node"), "uid").repartition(parts, "node")
-    full = member.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("uid")).alias("x")).where("size > 1")
-    full = full.groupBy("size", "x").agg(F.min("node").alias("node")).select("node", F.ceil(F.col("size") / F.lit(NODE / 2)).alias("parts"), "size").withColumn("parts", F.when(F.col("size") > NODE, F.col("parts")).otherwise(1).cast("long"))
-    met = member.join(full.drop("size"), "node").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
-    met = met.join(texts.select("uid", "sig"), "uid").select("node", "part", "parts", "uid", "sig").repartition(parts, "node", "part").sortWithinPartitions("node", "part", "uid")
-    led = materialise(met.mapInArrow(lambda batches: lead(tidied(batches), trees * depth), "a long, b long, node long"), "near-led")
-    leaders = led.where("b is null")
-    heads = leaders.groupBy("node").agg(F.min("a").alias("b"))
-    met_in = components(contracted(led.where("b is not null").select("a", "b")).union(leaders.select("node", "a").join(heads, "node").select("a", "b")))
-
-    # exact comparison within what is connected, in blocks
-    known = met_in.join(texts.select("uid", "tk", "n", "copies"), met_in["id"] == texts["uid"]).select("uid", F.col("root").alias("comp"), "tk", "n", "copies")
+    # exact comparison of homes with their balls, in blocks
+    known = near.join(texts.select("uid", "tk", "n", "copies"), "uid")
+    sized = known.groupBy("ball").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(BLOCK_TEXTS))).alias("blocks")).where("size > 1").drop("size")
+    known = known.join(sent(materialise(sized, "near-sized")), "ball").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks"))).drop("n")
     known = materialise(known, "near-known")
-    blocks = known.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(BLOCK_TEXTS))).alias("blocks"))
-    known = materialise(known.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks"))).drop("n"), "near-blocks")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # rows that repeat id and text are one text: send it once a task
         for b in tidied(batches):
             at = 0
             for texts in array_slices(b.column("text")):
-                x = [shingles(h, words).tobytes() for h in word_hashes(texts)]
-                kept, at = b.slice(at, len(texts)), at + len(texts)
-                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("uid", "comp", "copies", "blocks", "block")), pa.array(x, pa.binary())], names=["uid", "comp", "copies", "blocks", "block", "x"])
-
-    chosen = docs.select(text_key().alias("tk"), "text").join(_sent(known), "tk").select("uid", "comp", "copies", "blocks", "block", "text")
-    chosen = chosen.mapInArrow(shingled, "uid long, comp long, copies long, blocks long, block long, x binary")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    chosen = chosen.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    chosen = chosen.select("comp", "i", "j", "uid", "block", "copies", "x").repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "uid")
+                uid, at = b.column("uid").slice(at, len(texts)).to_pylist(), at + len(texts)
+                new = [k for k, u in enumerate(uid) if u not in done and not done.add(u)]
+                x = [shingles(h, words).tobytes() for h in word_hashes(texts.take(pa.array(new, pa.int64())))]
+                yield pa.RecordBatch.from_arrays([pa.array([uid[k] for k in new], pa.int64()), pa.array(x, pa.binary())], names=["uid", "x"])
+
+    wanted = materialise(known.select("tk", "uid").distinct(), "near-wanted")
+    sets = docs.select(text_key().alias("tk"), "text").join(sent(wanted), "tk").select("uid", "text").mapInArrow(shingled, "uid long, x binary")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = known.select("ball", "uid", "copies", "home", "block", other)
+    asked = dealt.select("ball", F.col("other").alias("i"), F.col("block").alias("j"), "uid", "copies", "home", F.lit(False).alias("asks"))
+    asking = dealt.where("home and other <> block").select("ball", F.col("block").alias("i"), F.col("other").alias("j"), "uid", "copies", "home", F.lit(True))
+    places = materialise(asked.union(asking), "near-places")
+    chosen = sets.join(sent(places), "uid").repartition(parts, "ball", "i", "j").sortWithinPartitions("ball", "i", "j", "uid")
     found = materialise(chosen.mapInArrow(lambda batches: verify(tidied(batches), num, den), "a long, b long, links long"), "near-links")
 
     root = components(found.where("b is not null").select("a", "b"))
@@ -324,9 +402,9 @@ def classes(docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4
         .join(links, "uid", "left").select("digest", "class", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     named = materialise(named, "near-named")
-    least = named.groupBy("class").agg(F.min("first").alias("class_id"))
-    named = named.drop("first").join(least, "class")
-    out = rows.select("doc_id", "tk", "digest", "n").join(named, "digest", "left")
+    least = materialise(named.groupBy("class").agg(F.min("first").alias("class_id")), "near-least")
+    named = materialise(named.drop("first").join(sent(least), "class"), "near-classed")
+    out = rows.select("doc_id", "tk", "digest", "n").join(sent(named), "digest", "left")
     return out.select("doc_id", "tk", "n", "class", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -334,12 +412,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class, that of the least doc_id; columns as they were."""
     found = materialise(classes(docs, **options), "near-classes").where("n > 0")
     kept = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tk")).alias("k")).select("class", F.col("k.tk").alias("kept"))
-    judged = found.join(kept, "class")
+    judged = found.join(sent(materialise(kept, "near-kept")), "class")
     dropped = materialise(judged.where("tk <> kept").select(F.col("tk").alias("__fs_tk")).distinct(), "near-dropped")
     twice = materialise(judged.where("tk = kept").groupBy(F.col("tk").alias("__fs_tk")).count().where("count > 1").select("__fs_tk"), "near-twice")
     columns = docs.columns
-    keyed = docs.withColumn("__fs_tk", text_key()).join(_sent(dropped), "__fs_tk", "left_anti")
+    keyed = docs.withColumn("__fs_tk", text_key()).join(sent(dropped), "__fs_tk", "left_anti")
     if not twice.isEmpty():
-        sent = _sent(twice)
-        keyed = keyed.join(sent, "__fs_tk", "left_anti").unionByName(keyed.join(sent, "__fs_tk", "left_semi").dropDuplicates(["__fs_tk"]))
+        again = sent(twice)
+        keyed = keyed.join(again, "__fs_tk", "left_anti").unionByName(keyed.join(again, "__fs_tk", "left_semi").dropDuplicates(["__fs_tk"]))
     return keyed.select(*columns)

@@ -87,33 +87,77 @@ def test_sharding(spark, docs):
         sharding.fill(["a"], 100)
 
 
-def chosen(t):
-    """Hash positions by brute force."""
-    w = re.findall(r"[^\x20\x09-\x0D]{1,16}", (t or "").lower())
-    return w
-
-
-def test_winnow(spark, docs):
-    got = winnow.edits(docs, rows=3).collect()
-    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    follow = {}
+def pieces(t):
+    """Words of at most 16 characters, and single characters of longer runs."""
+    return [x for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for x in ([w] if len(w) <= 16 else w)]
+
+
+def picked(spark, texts):
+    """Of each text: the packed hash and position of the rightmost least of every window, by brute force."""
+    grams = [[tuple(p[j : j + winnow.K]) for j in range(len(p) - winnow.K + 1)] for p in map(pieces, texts)]
+    names = sorted({g for gs in grams for g in gs})
+    pair = lambda a, b: F.xxhash64(F.xxhash64(F.col("g")[a]), F.xxhash64(F.col("g")[b]))
+    hashed = dict(zip(names, (r[0] for r in spark.createDataFrame([(k, list(g)) for k, g in enumerate(names)], "k int, g array<string>").orderBy("k").select(F.xxhash64(pair(0, 1), pair(2, 3))).collect()), strict=True))
+    out = []
+    for gs in grams:
+        packed = [(hashed[g] >> winnow.PLACE << winnow.PLACE) + (1 << winnow.PLACE) - 1 - i for i, g in enumerate(gs)]
+        windows = [packed[i : i + winnow.W] for i in range(max(1, len(packed) - winnow.W + 1))] if packed else []
+        out.append(list(dict.fromkeys(map(min, windows))))
+    return out
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_winnow(spark, docs, rows):
+    got = winnow.edits(docs, rows=rows).collect()
+    ties = {r.text: r.tie for r in docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct().select("text", F.xxhash64("text").alias("tie")).collect()}
+    order = sorted(((i, t or "") for i, t in ROWS), key=lambda r: (r[0] is None, -(r[0] or 0), ties[r[1]]))
+    want = Counter()
     for k, (i, t) in enumerate(order):
-        follow.setdefault((i, t or ""), order[(k + 1) % len(order)][1] or "")
-    assert len(got) == len(ROWS)
-    for r in got:
-        n, cut = len(r.text), len(r.text) // 3
-        assert r.n_chars == n
-        if r.doc_id not in (5, 4, 6):  # neighbours of repeated rows
-            assert r.edited == r.text[: n - cut] + follow[(r.doc_id, r.text)][:cut]
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        # the rightmost least of every window, from all hashes (windows of one)
-    one = spark.createDataFrame([(BASE,)], "t string")
-    w, k = winnow.W, winnow.K
-    parts = F.array(*(F.xxhash64(F.xxhash64(F.xxhash64(F.lit(a)), F.xxhash64(F.lit(b))), F.xxhash64(F.xxhash64(F.lit(c)), F.xxhash64(F.lit(d)))) for a, b, c, d in zip(*(chosen(BASE)[j:] for j in range(k)), strict=False)))
-    hashes = one.select(parts).first()[0]
-    packed = [(h >> 30 << 30) + (1 << 30) - 1 - i for i, h in enumerate(hashes)]
-    want = list(dict.fromkeys(min(packed[i : i + w]) for i in range(len(packed) - w + 1)))
-    assert winnow.add_fingerprint(one, "t", "fp").first().fp == want
+        after, cut = order[(k + 1) % len(order)][1], len(t) // 3
+        want[i, t, t[: len(t) - cut] + after[:cut], after] += 1
+    assert Counter((r.doc_id, r.text, r.edited) for r in got) == Counter({(i, t, e): sum(n for (a, b, c, _), n in want.items() if (a, b, c) == (i, t, e)) for i, t, e, _ in want})
+    texts = sorted({x for _, t, e, after in want for x in (t, e, after)})
+    long = [t for t in texts if len(pieces(t)) >= winnow.K]
+    fp = dict(zip(long, picked(spark, long), strict=True))
+    shown = {t: {x >> winnow.PLACE for x in fp[t]} for t in long}
+
+    def alike(a, b):
+        return len(shown[a] & shown[b]) / len(shown[a] | shown[b])
+
+    for i, t, e, after in want:
+        rows_ = [r for r in got if (r.doc_id, r.text, r.edited) == (i, t, e)]
+        for r in rows_:
+            assert r.n_chars == len(t) and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+            if t in fp:
+                assert r.fp == fp[t]
+            if e in fp:
+                assert r.edited_fp == fp[e]
+            if t in fp and e in fp:
+                assert math.isclose(r.near_edited, alike(t, e))
+        if t in fp and after in fp:
+            assert any(math.isclose(r.near_next, alike(t, after)) for r in rows_)
+    assert winnow.edits(docs.where("false")).count() == 0
+    assert winnow.edits(docs.limit(1)).count() == 1
+
+
+def test_winnow_finds_what_is_shared(spark):
+    r = np.random.default_rng(11)
+    passage = "".join(chr(0x4E00 + k) for k in r.integers(0, 3000, 900))  # no spaces
+    own = ["".join(chr(0x4E00 + k) for k in r.integers(0, 3000, n)) for n in (200, 203)]
+    rows = [(1, own[0] + passage), (2, own[1] + passage[450:480] + own[0]), (3, "ab " + passage[3:]), (4, "x" * 17 + " " + " ".join(text(77, 400).split()[:60])), (5, " ".join(text(77, 400).split()[30:90]))]
+    got = {x.k: set(x.h) for x in winnow.add_fingerprint(spark.createDataFrame(rows, "k int, t string"), "t", "fp").select("k", winnow.hashes(F.col("fp")).alias("h")).collect()}
+    assert all(got[a] & got[b] for a, b in ((1, 2), (1, 3), (2, 3), (4, 5)))  # K + W - 1 = 11 tokens shared, whatever stands before them
+    assert not got[1] & got[4]
+
+
+def test_winnow_spreads_equal_ids(spark):
+    rows = [(7, f"t{k}") for k in range(600)] + [(None, f"n{k}") for k in range(600)] + [(k, f"k{k}") for k in range(100, 400)]
+    placed = winnow._placed(spark.createDataFrame(rows, "key long, text string"), 50)
+    sizes = [r["count"] for r in placed.groupBy("bucket").count().collect()]
+    assert max(sizes) < 150 and len(sizes) >= 25
+    by = sorted(placed.collect(), key=lambda r: (r.key is None, -(r.key or 0), r.tie))
+    assert [r.bucket for r in by] == sorted(r.bucket for r in by)  # ranges are in order
+    assert len(winnow.edits(spark.createDataFrame(rows, "doc_id long, text string"), rows=50).collect()) == len(rows)
 
 
 def test_hmm(spark, docs):
