@@ -104,6 +104,21 @@ def log10_likelihoods(texts: list[np.ndarray], model: Model) -> np.ndarray:
     return out
 
 
+def held(batches: Iterator[pa.RecordBatch], most: int = 2_500_000) -> Iterator[tuple[list[np.ndarray], list[pa.RecordBatch]]]:
+    """Texts (last column) and rows of neighbouring batches, about most tokens at a time: long texts then share their places' steps."""
+    texts, rows, size = [], [], 0
+    for b in batches:
+        for x in b.column(b.num_columns - 1):
+            texts.append(np.frombuffer(x.as_buffer(), "<u4"))
+            size += len(texts[-1])
+        rows.append(b)
+        if size >= most:
+            yield texts, rows
+            texts, rows, size = [], [], 0
+    if texts:
+        yield texts, rows
+
+
 def segments(starts: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Runs of places that hold at most so many tokens each (one place at least)."""
     out, k, last = [], 0, len(starts) - 1
@@ -299,15 +314,9 @@ def score(
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
-            for b in tidied(batches):
-                part, held = [], 0
-                for i, x in enumerate(b.column("k")):
-                    part.append(np.frombuffer(x.as_py(), "<u4"))
-                    held += len(part[-1])
-                    if held > 2_500_000 or i == b.num_rows - 1:
-                        more = expected(part, now.value)
-                        total = more if total is None else np.add(total, more, out=total)
-                        part, held = [], 0
+            for texts, _ in held(tidied(batches)):
+                more = expected(texts, now.value)
+                total = more if total is None else np.add(total, more, out=total)
             if total is not None:
                 blocks = [total[i : i + CLASS_BLOCK] for i in range(0, size, CLASS_BLOCK)]
                 at = [i for i, x in enumerate(blocks) if x.any()]
@@ -332,7 +341,8 @@ def score(
     model = first_guess(states, prior)
     learnt = table.where("not held_out")
     if passes is None:
-        for texts in (learnt.where(F.col("part") % warm == 0), learnt):
+        few = spark.sparkContext.defaultParallelism
+        for texts in (learnt.where(F.col("part") % warm == 0).coalesce(few), learnt):
             before = None
             while True:
                 model, reached = one_pass(texts, model)
@@ -345,9 +355,11 @@ def score(
     final = spark.sparkContext.broadcast(model)
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tidied(batches):
-            texts = [np.frombuffer(x.as_py(), "<u4") for x in b.column("k")]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(log10_likelihoods(texts, final.value))], names=[*b.schema.names[:-1], "path"])
+        for texts, held_batches in held(tidied(batches)):
+            path = log10_likelihoods(texts, final.value)
+            for b in held_batches:
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(path[: b.num_rows])], names=[*b.schema.names[:-1], "path"])
+                path = path[b.num_rows :]
 
     lean = table.drop("rare", "part")
     paths = lean.select(*[c for c in lean.columns if c != "k"], "k")
