@@ -7,25 +7,28 @@ are all occurrences; runs of them on a diagonal are the longest verbatim
 matches. Words are lower-cased (A-Z) runs of digits, letters and anything
 beyond ASCII; suffixes are compared over window words.
 
-The benchmark reaches the tasks in blocks of at most block_chars characters;
-each block is one pass over the documents and hits of passes are united.
+The benchmark reaches the tasks in blocks of at most block_chars characters, which
+a shard is searched for one after the other; a worker holds all of them, so the
+benchmark (not the documents) must fit there, about 100 bytes a word.
 
 Cases: null and empty texts have no words and are clean; items without words
 never match; items that repeat a text all count; an item shorter than the
-window is one window; ids of items may repeat and count once.
+window is one window; ids of items may repeat and count once, null ids count as
+the empty id; repeated documents are reported each; long texts are searched as a
+whole; a column of the result's name raises, other columns are kept; an empty
+table gives no rows and an empty benchmark no hits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidied
+from .common import free_of, small_batches, tidied
 
 #: Each byte's lower-case form if it is part of a word, else a space.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -35,45 +38,37 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_BYTES).split()
 
 
-@dataclass
-class Block:
-    """Benchmark items, made ready for search."""
-
-    window: int
-    ids: list[list[str]] = field(default_factory=list)  # ids of the items of each text
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    low: np.ndarray | None = None
-    high: np.ndarray | None = None
-    length: np.ndarray | None = None
-    item: np.ndarray | None = None
-    offset: np.ndarray | None = None
+#: Benchmark items made ready for search, as tasks get them (plain values): ids (of the items of each text), vocabulary,
+#: and of each window its low and high keys, length, item (text) and offset.
+Block = tuple[list[list[str]], dict[bytes, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def prepare(items: list[tuple[str, list[bytes]]], window: int) -> Block:
-    out = Block(window)
+    ids: list[list[str]] = []
     texts: dict[tuple[bytes, ...], int] = {}
     for item_id, w in items:
         if w:
             k = texts.setdefault(tuple(w), len(texts))
-            if k == len(out.ids):
-                out.ids.append([])
-            out.ids[k].append(item_id)
+            if k == len(ids):
+                ids.append([])
+            ids[k].append(item_id)
+    vocabulary: dict[bytes, int] = {}
     for w in texts:
         for x in w:
-            out.vocabulary.setdefault(x, len(out.vocabulary) + 1)
+            vocabulary.setdefault(x, len(vocabulary) + 1)
     spans = [(k, p, min(window, len(w))) for w, k in texts.items() for p in range(max(1, len(w) - window + 1))]
     low, high = np.zeros((len(spans), window), ">u4"), np.full((len(spans), window), 0xFFFFFFFF, ">u4")
-    coded = [np.array([out.vocabulary[x] for x in w], ">u4") for w in texts]
+    coded = [np.array([vocabulary[x] for x in w], ">u4") for w in texts]
     for row, (k, p, n) in enumerate(spans):
         low[row, :n] = high[row, :n] = coded[k][p : p + n]
-    out.low, out.high = (x.reshape(-1).view(f"S{4 * window}") for x in (low, high))
-    out.item, out.offset, out.length = np.array(spans, np.int64).reshape(-1, 3).T
-    return out
+    item, offset, length = np.array(spans, np.int64).reshape(-1, 3).T
+    return ids, vocabulary, *(x.reshape(-1).view(f"S{4 * window}") for x in (low, high)), length, item, offset
 
 
-def search(texts: list[str | None], block: Block) -> tuple[list[int], list[np.ndarray], list[list[tuple[int, int, int, int]]]]:
+def search(texts: list[str | None], block: Block, window: int) -> tuple[list[int], list[np.ndarray], list[list[tuple[int, int, int, int]]]]:
     """Of each text: its number of words, the places of hit words, and (item, offset, place, length) of the longest matches."""
-    get, window = block.vocabulary.get, block.window
+    _, vocabulary, low, high, lengths, items, offsets = block
+    get = vocabulary.get
     coded, bounds = [], [0]
     for t in texts:
         coded.append(np.array([get(w, 0) for w in words(t)] + [0], np.uint32))  # 0: a word no item has, or a text's end
@@ -81,24 +76,24 @@ def search(texts: list[str | None], block: Block) -> tuple[list[int], list[np.nd
     flat, edges = np.concatenate(coded), np.array(bounds)
     counts = (np.diff(edges) - 1).tolist()
     none = [np.empty(0, np.int64)] * len(texts), [[] for _ in texts]
-    if not len(block.length):
+    if not len(lengths):
         return counts, *none
     breaks = np.flatnonzero(flat == 0)
     known = np.flatnonzero(flat)
     run = breaks[np.searchsorted(breaks, known)] - known
-    starts, run = known[run >= block.length.min()], run[run >= block.length.min()]
+    starts, run = known[run >= lengths.min()], run[run >= lengths.min()]
     if not len(starts):
         return counts, *none
     within = np.arange(window)
     keys = np.where(within < run[:, None], flat[np.minimum(starts[:, None] + within, len(flat) - 1)], 0).astype(">u4").reshape(-1).view(f"S{4 * window}")
     order = np.argsort(keys, kind="stable")
     suffixes, keys = starts[order], keys[order]  # the shard's suffix array
-    lo, hi = np.searchsorted(keys, block.low, "left"), np.searchsorted(keys, block.high, "right")
+    lo, hi = np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
     found = np.flatnonzero(hi > lo)
     n = (hi - lo)[found]
     at = np.repeat(found, n)
     places = suffixes[np.repeat(lo[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    item, offset, length = block.item[at], block.offset[at], block.length[at]
+    item, offset, length = items[at], offsets[at], lengths[at]
     cover = np.zeros(len(flat) + 1, np.int64)
     np.add.at(cover, places, 1)
     np.add.at(cover, places + length, -1)
@@ -122,25 +117,34 @@ def search(texts: list[str | None], block: Block) -> tuple[list[int], list[np.nd
 FOUND = "struct<n_words:bigint,hits:array<int>,matches:array<struct<item_id:string,item_start:int,start:int,length:int>>>"
 
 
-def _found(block: Block, spark, text: Column) -> Column:
+def _found(blocks: list[Block], window: int, spark, text: Column) -> Column:
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(block)
+    sent = [spark.sparkContext.broadcast(b) for b in blocks]
     match = pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
 
+    def united(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, list[dict]]]:
+        places, named, counts = [[] for _ in texts], [[] for _ in texts], []
+        for b in sent:
+            counts, hits, matches = search(texts, b.value, window)
+            for i, (h, m) in enumerate(zip(hits, matches, strict=True)):
+                if len(h):
+                    places[i].append(h)
+                    named[i] += [{"item_id": x, "item_start": o, "start": p, "length": n} for k, o, p, n in m for x in b.value[0][k]]
+        for i, n in enumerate(counts):
+            yield n, np.unique(np.concatenate(places[i])) if places[i] else np.empty(0, np.int64), named[i]
+
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        block = sent.value
         for col in tidied(parts):
-            counts, hits, matches = [], [], []
+            out: list[tuple] = []
             texts: list[str | None] = []
             size = 0
             for i in range(len(col)):
                 texts.append(col[i].as_py())
                 size += len(texts[-1] or "")
                 if size > 6_000_000 or i == len(col) - 1:
-                    for into, x in zip((counts, hits, matches), search(texts, block), strict=True):
-                        into += x
+                    out += united(texts)
                     texts, size = [], 0
-            named = [[{"item_id": x, "item_start": o, "start": p, "length": n} for k, o, p, n in m for x in block.ids[k]] for m in matches]
+            counts, hits, named = zip(*out, strict=True) if out else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(named, pa.list_(match))], names=["n_words", "hits", "matches"])
 
     run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -161,20 +165,9 @@ def blocks_of(benchmark: DataFrame, window: int, block_chars: int) -> Iterator[B
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_chars: int = 4_000_000, out: str = "found") -> DataFrame:
     """docs with column out: n_words, hits (places of hit words) and matches (item_id, item_start, start, length)."""
-    spark = docs.sparkSession
-    columns = docs.columns
-    for k, block in enumerate(blocks_of(benchmark, window, block_chars)):
-        now = _found(block, spark, F.col("text"))
-        if not k:
-            docs = docs.withColumn(out, now)
-            continue
-        docs = docs.withColumn("__fs_more", now).select(
-            *(F.col(c) for c in columns),
-            F.struct(F.col(f"{out}.n_words").alias("n_words"), F.array_sort(F.array_union(f"{out}.hits", "__fs_more.hits")).alias("hits"), F.concat(f"{out}.matches", "__fs_more.matches").alias("matches")).alias(out),
-        )
-    if out not in docs.columns:
-        docs = docs.withColumn(out, _found(prepare([], window), spark, F.col("text")))
-    return docs
+    free_of(docs, out)
+    blocks = list(blocks_of(benchmark, window, block_chars)) or [prepare([], window)]
+    return docs.withColumn(out, _found(blocks, window, docs.sparkSession, F.col("text")))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -9,7 +9,9 @@ tokens, which shows repetition of any word.
 
 Cases: a null or empty text scores by the bias alone; labels other than 0 and 1
 and labels of absent documents are left out; of rows that share an id, one is
-learnt from; without labels every text scores 0.5, which keeps it.
+learnt from; without labels every text scores 0.5, which keeps it; equal texts
+score alike; texts of any length are scored as a whole; a column of the score's
+name raises, other columns are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidied
+from .common import free_of, small_batches, tidied
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -141,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", eli
 
 def score(docs: DataFrame, model: QualityModel, out: str = "score") -> DataFrame:
     """docs with the model's probability of label 1 for each whole text, in column out."""
+    free_of(docs, out)
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.bits, model.scale))  # 2**bits floats
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, hmm, mixing, neardup, quality, secrets, sharding, tokens, urls, winnow
-from .common import table
+from .common import sent, table
 
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -74,7 +74,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes of each."""
     taken, sources = mixing.shares(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     own = taken.withColumn("source", F.element_at("members", 1))
-    return own.join(F.broadcast(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")  # a row per source
+    return own.join(sent(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")  # a row per source
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,10 @@ no base span covers is reported as kind `key` if it is owner-specific and has
 the entropy of a credential.
 
 Cases: null texts are empty and have no spans; null owners are one owner; each
-row is reported once, also where ids or whole rows repeat; positions are code
-points, ends exclusive.
+row is reported once, also where ids or whole rows repeat; spans that start
+together are ordered by kind; positions are code points, ends exclusive; other
+columns are not looked at; an empty table gives no rows; a text of any length is
+searched as a whole.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import materialise, small_batches, texts_of, tidied
+from .common import materialise, sent, small_batches, texts_of, tidied
 
 KINDS = ("assign", "access", "hex", "key")
 NAMES = ("password", "passwd", "secret", "token", "api")
@@ -94,10 +96,12 @@ def scan(docs: DataFrame, *, owner: str = "source", repository: str | None = Non
     """doc_id and findings (kind, start, end, repositories, owners, example) of each row, by start and kind."""
     found = extract(docs, owner, repository)
     some = found.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
-    judged = some.join(ownership(found), "value").withColumn("example", (F.col("owners") >= example_owners) & (F.col("repositories") >= example_repositories))
+    judged = some.join(sent(materialise(ownership(found), "secret-owners")), "value").withColumn("example", (F.col("owners") >= example_owners) & (F.col("repositories") >= example_repositories))
     kind = F.element_at(F.lit(list(KINDS)), F.col("kind") + 1)
     lists = (
         judged.where((F.col("kind") < 3) | ~F.col("example"))
         .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.col("kind").alias("k"), "end", kind.alias("kind"), "repositories", "owners", "example"))).alias("findings"))
     )
-    return found.select("row", "doc_id").join(lists, "row", "left").select("doc_id", F.coalesce("findings", F.array().cast(lists.schema["findings"].dataType)).alias("findings"))
+    none = F.array().cast(lists.schema["findings"].dataType)
+    some = found.where(F.size("found") > 0).select("row", "doc_id").join(lists, "row", "left").select("doc_id", F.coalesce("findings", none).alias("findings"))
+    return some.union(found.where(F.size("found") == 0).select("doc_id", none.alias("findings")))

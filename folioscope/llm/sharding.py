@@ -8,8 +8,8 @@ hashed to a slot, and a broadcast join with the table places it.
 
 Cases: a null key hashes as a mark of its own; rows with equal keys share a
 shard unless salt > 1 spreads a hot key over so many slots by a hash of the
-text; an empty table gives no rows; the driver fills a table of fixed size and
-holds no rows.
+text; an empty table gives no rows; rows that have columns of the added names
+raise; the driver fills a table of fixed size and holds no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import free_of
+
 #: A prime of the 16-bit range; over a thousand slots for each of 64 shards.
 SLOTS = 65537
 #: Most slots that a table may have, as it is broadcast.
@@ -34,11 +36,16 @@ def fill(names: Sequence[str], slots: int = SLOTS, weights: Sequence[int] | None
     """The shard (its number) of each slot. weights: claims a shard makes at its turn."""
     if len(set(names)) != len(names) or not names:
         raise ValueError("shards need names of their own")
+    weights = [1] * len(names) if weights is None else weights
+    if len(weights) != len(names) or min(weights) < 0 or not any(weights):
+        raise ValueError("weights are a number for each shard, not below 0 and not all 0")
+    if len(names) > slots:
+        raise ValueError("there are more shards than slots")
     if slots > MOST_SLOTS or slots < 2 or any(slots % d == 0 for d in range(2, int(slots**0.5) + 1)):
         raise ValueError("slots must be a prime that a broadcast can hold")
     start, step = [_draw(n, "start", slots) for n in names], [_draw(n, "step", slots - 1) + 1 for n in names]
     owner, left = [-1] * slots, slots
-    turns = [k for k, w in enumerate(weights or [1] * len(names)) for _ in range(w)]
+    turns = [k for k, w in enumerate(weights) for _ in range(w)]
     while True:
         for k in turns:
             while owner[start[k]] >= 0:
@@ -64,7 +71,7 @@ def slot_of(key: Column, slots: int, salt: int = 1, by: Column | None = None) ->
 
 
 def place(rows: DataFrame, names: Sequence[str], *, key: str = "doc_id", slots: int = SLOTS, weights: Sequence[int] | None = None, salt: int = 1) -> DataFrame:
-    """rows with slot, shard and shard_name added; rows that have such columns lose them."""
-    kept = rows.drop("slot", "shard", "shard_name")
+    """rows with slot, shard and shard_name added."""
+    free_of(rows, "slot", "shard", "shard_name")
     at = slot_of(F.col(key), slots, salt, F.col("text") if salt > 1 else None)
-    return kept.withColumn("slot", at).join(F.broadcast(lookup(rows.sparkSession, names, slots, weights)), "slot").select(*kept.columns, "slot", "shard", "shard_name")
+    return rows.withColumn("slot", at).join(F.broadcast(lookup(rows.sparkSession, names, slots, weights)), "slot").select(*rows.columns, "slot", "shard", "shard_name")

@@ -232,12 +232,22 @@ def test_urls_far_from_seeds(spark):
         step, start = np.zeros((len(names), len(names))), np.array([seeds[kind].get(n, 0.0) for n in names])
         for a, b in edges:
             step[names.index(a), names.index(b)] = 1 / sum(x == a for x, _ in edges)
-        want = np.linalg.solve(np.eye(len(names)) - 0.85 * step.T, 0.15 * start / start.sum())
+        start /= start.sum()
+        step[step.sum(axis=1) == 0] = start  # hosts without links give back to the seeds
+        want = np.linalg.solve(np.eye(len(names)) - 0.85 * step.T, 0.15 * start)
+        assert math.isclose(want.sum(), 1)
         for n, w in zip(names, want, strict=True):
             assert n not in got or math.isclose(got[n][kind], w, rel_tol=1e-4, abs_tol=1e-300)
+    urls_hub, urls.HUB = urls.HUB, 1  # every host's links over several tasks: the same ranks
+    try:
+        dealt = {r.host: r for r in urls.judge(pages, (("block", "h0.org/"), ("block", "bad.net/"), ("allow", "good.com/")), ratio=1.5).collect()}
+    finally:
+        urls.HUB = urls_hub
+    assert all(math.isclose(dealt[n].trust, got[n].trust, rel_tol=1e-9) and math.isclose(dealt[n].distrust, got[n].distrust, rel_tol=1e-9) and dealt[n].verdict == got[n].verdict for n in got)
     assert got["h13.org"].distrust > 0 and got["h0.org"].verdict == "block" and got["h9.org"].verdict == ("block" if got["h9.org"].distrust > 1.5 * got["h9.org"].trust else "allow")
     ties = {(r.src, r.dst) for r in urls.host_edges(spark.createDataFrame([("m.x.bad.net", "")], "host string, html string")).collect()}
     assert ties == {("m.x.bad.net", "x.bad.net"), ("x.bad.net", "m.x.bad.net"), ("x.bad.net", "bad.net"), ("bad.net", "x.bad.net")}
+    assert urls.host_edges(spark.createDataFrame([("a.co.uk", ""), ("b.co.uk", "")], "host string, html string")).count() == 0  # strangers
 
 
 def test_mixing(spark, docs):
