@@ -41,16 +41,20 @@ def caps_heading(t: Column, barred: Sequence[str] = NOT_HEADINGS) -> Column:
     return (F.length(t) <= 100) & ~any_of(F.upper(t), barred) & F.size(w).between(2, 15) & F.forall(w, capital)
 
 
+def _like_title(t: Column, strict: bool) -> Column:
+    w = words(t)
+    longer = F.filter(w, lambda x: F.length(x) > 2)
+    led = F.size(F.filter(longer, lambda x: x.rlike(r"^\p{Lu}")))
+    fits = (F.length(t) <= 150) & ~F.trim(t).contains("\n") & F.size(w).between(2, 20) & (F.size(longer) > 0) & (led >= F.size(longer) * 0.7)
+    return fits & ~t.contains(":") & ~F.trim(t).rlike("(,|and)$") if strict else fits
+
+
 def title_heading(t: Column, strict: bool = True) -> Column:
     """A subsection's heading: one line of 2 to 20 words in at most 150 characters, 70 % of its longer words capitalised.
 
     strict also bars colons and endings of lists; texts from character recognition are read without it.
     """
-    w = words(t)
-    longer = F.filter(w, lambda x: F.length(x) > 2)
-    led = F.size(F.filter(longer, lambda x: x.rlike(r"^\p{Lu}")))
-    fits = (F.length(t) <= 150) & ~F.trim(t).contains("\n") & F.size(w).between(2, 20) & (F.size(longer) > 0) & (led >= F.size(longer) * 0.7) & ~caps_heading(t)
-    return fits & ~t.contains(":") & ~F.trim(t).rlike("(,|and)$") if strict else fits
+    return _like_title(t, strict) & ~caps_heading(t)
 
 
 def is_example(t: Column) -> Column:
@@ -98,13 +102,21 @@ def kinds(paragraphs: Column, strict: bool = True) -> Column:
     text (title case: content that is appended as it is, so called label).
     """
     enough = lambda t: F.exists(sentences(t), lambda s: F.size(words(s)) >= 5)
-    follows = lambda t: F.coalesce((t != "") & (title_heading(t, strict) | (~caps_heading(t) & enough(t))), F.lit(False))
 
-    def kind(t: Column, after: Column) -> Column:
+    def looked_at(p: Column) -> Column:
+        """A paragraph with what it looks like, found once; no heading has over 150 characters."""
+        t = F.trim(p)
+        short = (t != "") & (F.length(t) <= 150)
+        shape = F.when(short & caps_heading(t), "caps").when(short & _like_title(t, strict), "title")
+        return F.struct(t.alias("t"), shape.alias("shape"))
+
+    def kind(x: Column, after: Column) -> Column:
+        t, shape = x["t"], F.coalesce(x["shape"], F.lit(""))
+        follows = F.coalesce((after["t"] != "") & ((after["shape"] == "title") | (after["shape"].isNull() & enough(after["t"]))), F.lit(False))
         return (
             F.when(t == "", "blank").when(t.rlike("(?i)" + "|".join(CREDITS)), "credits").when(t.rlike("(?i)" + COMPONENTS), "components")
-            .when(is_example(t), "example").when(caps_heading(t), F.when(follows(after), "caps").otherwise("caption"))
-            .when(title_heading(t, strict), F.when(follows(after), "title").otherwise("label")).otherwise("text")
+            .when(is_example(t), "example").when(shape == "caps", F.when(follows, "caps").otherwise("caption"))
+            .when(shape == "title", F.when(follows, "title").otherwise("label")).otherwise("text")
         )
 
-    return let(F.transform(paragraphs, lambda p: F.trim(p)), lambda ps: F.transform(ps, lambda t, i: kind(t, F.get(ps, i + 1))))
+    return let(F.transform(paragraphs, looked_at), lambda ps: F.transform(ps, lambda x, i: kind(x, F.get(ps, i + 1))))

@@ -2,14 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.questions import intent, need
 from ..functions.text import let, sentences, squeezed, words
 
 NOTHING = "No relevant information found."
-#: chunks read, characters, sentences, share of the position's boost
-STYLES = {"procedural": (8, 700, 5, 0.2), "definitional": (8, 600, 4, 0.2), "quantitative": (8, 500, 3, 0.2), "sentence": (10, 600, 5, 0.3)}
+
+
+class Style(NamedTuple):
+    """How answers to one kind of question are put together."""
+
+    chunks: int  # so many of the best are read
+    words: int  # a sentence has at least
+    budget: int  # characters
+    most: int  # sentences
+    top: int | None  # so many of the best sentences are tried
+    position: float  # share of the boost for early chunks
+    enough: int | None = None  # three sentences over so many characters are enough
+    markers: tuple[float, tuple[str, ...]] = (0.0, ())
+    terms: float = 0.0  # boost for each of the question's verbs, concepts or key words in a sentence
+    digits: float = 0.0
+
+
+# Fixed values.
+STYLES = {
+    "procedural": Style(8, 4, 700, 5, 10, 0.2, markers=(0.05, ("first", "then", "next", "after", "must", "should", "to", "step")), terms=0.08),
+    "definitional": Style(8, 4, 600, 4, 8, 0.2, markers=(0.06, ("is", "are", "means", "refers to", "represents", "called", "known as")), terms=0.07),
+    "quantitative": Style(8, 3, 500, 3, 6, 0.2, digits=0.15),
+    "sentence": Style(10, 4, 600, 5, None, 0.3, enough=300, terms=0.15),
+}
+STYLE_OF = {"procedural": "procedural", "definition": "definitional", "quantitative": "quantitative"}
 
 
 def extractive(chunks: Column, budget: int = 800, most: int = 15, least: int = 50) -> Column:
@@ -33,56 +60,77 @@ def extractive(chunks: Column, budget: int = 800, most: int = 15, least: int = 5
     return let(parts, lambda p: F.when(F.size(p) > 0, squeezed(F.array_join(p, " "))).otherwise(F.lit(NOTHING)))
 
 
-def assembled(candidates: DataFrame, question: str, budget: int = 600, most: int = 5, enough: int | None = 300, top: int | None = None) -> DataFrame:
-    """question, answer and n_sentences from scored sentences: the best that fit, each wording once.
+def chosen(listed: Column, budget: Column, most: Column, enough: Column) -> Column:
+    """Of sentences (structs with sentence and chunk_idx, best first) those that fit, each wording once.
 
-    candidates holds question, chunk_idx (from 0), sent_idx, sentence and score. Sentences that don't
-    fit are passed over; it stops at most sentences, or at 3 over enough characters. top: so many of
-    the best are read (a top-k report's setting).
+    Sentences that don't fit are passed over; it stops at most sentences, or at three over enough characters (null: never).
     """
-    c = candidates
-    if top is not None:
-        best = Window.partitionBy(question).orderBy(F.desc("score"), "chunk_idx", "sent_idx")
-        c = c.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top)
-    listed = c.groupBy(question).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "chunk_idx", "sent_idx", "sentence"))).alias("xs"))
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("parts"), none.alias("seen"), F.lit(0).alias("used"), F.lit(False).alias("done"))
+    pick = F.struct(F.lit("").alias("sentence"), F.lit(0).alias("chunk_idx"))
+    start = F.struct(F.slice(F.array(pick), 2, 0).alias("parts"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("used"), F.lit(False).alias("done"))
 
     def add(s: Column, x: Column) -> Column:
         plain = squeezed(F.lower(x["sentence"]))
         skip = s["done"] | F.array_contains(s["seen"], plain) | (s["used"] + F.length(x["sentence"]) > budget)
         n, used = F.size(s["parts"]) + 1, s["used"] + F.length(x["sentence"]) + 1
-        done = (n >= most) | ((n >= 3) & (used > enough)) if enough is not None else n >= most
-        more = F.struct(F.concat(s["parts"], F.array(x["sentence"])).alias("parts"), F.concat(s["seen"], F.array(plain)).alias("seen"), used.cast("int").alias("used"), done.alias("done"))
+        done = (n >= most) | F.coalesce((n >= 3) & (used > enough), F.lit(False))
+        part = F.struct(x["sentence"].alias("sentence"), x["chunk_idx"].cast("int").alias("chunk_idx"))
+        more = F.struct(F.concat(s["parts"], F.array(part)).alias("parts"), F.concat(s["seen"], F.array(plain)).alias("seen"), used.cast("int").alias("used"), done.alias("done"))
         return F.when(skip, s).otherwise(more)
 
-    parts = listed.select(question, F.aggregate("xs", start, add, lambda s: s["parts"]).alias("parts"))
-    return parts.select(question, F.when(F.size("parts") > 0, squeezed(F.array_join("parts", " "))).otherwise(F.lit(NOTHING)).alias("answer"), F.size("parts").cast("long").alias("n_sentences"))
-
-
-def sentence_candidates(chunks: DataFrame, question: str, text: str = "text", least: int = 4) -> DataFrame:
-    """question, chunk_idx, sent_idx and sentence of at least so many words; short sentences in capitals are left out."""
-    s = chunks.select(question, "chunk_idx", F.posexplode(sentences(F.col(text))).alias("sent_idx", "s")).select(question, "chunk_idx", "sent_idx", F.trim("s").alias("sentence"))
-    shouted = (F.col("sentence") == F.upper("sentence")) & F.col("sentence").rlike("[A-Z]") & (F.length("sentence") < 50)
-    return s.where((F.size(words(F.col("sentence"))) >= least) & ~shouted)
+    return F.aggregate(listed, start, add, lambda s: s["parts"])
 
 
-def boosted(similarity: Column, chunk_idx: Column, position: float = 0.3, *marks: tuple[float, Column]) -> Column:
-    """similarity, more for early chunks and for each weighted count."""
-    total = similarity + F.lit(1.0) / (chunk_idx + 1) * position
-    for weight, n in marks:
-        total = total + n * weight
-    return total
+def answered(
+    questions: DataFrame, chunks: DataFrame, question: str, similarity: Callable[[Column, Column], Column], *, verbs: Column, concepts: Column, keywords: Column, style: str | None = None
+) -> DataFrame:
+    """question, style, answer, n_sentences and used (chunks, in the answer's order) for each question.
 
-
-def arbitrated(forum: DataFrame, rulebook: DataFrame, question: str, weight: float = 0.45) -> DataFrame:
+    questions holds question (an id) and the columns question (the text), verbs, concepts and keywords are made of;
+    chunks holds question (the id), chunk_idx (from 0) and text. similarity is of a sentence and the
+    question's text, by built-in functions or an Arrow UDF. The style follows the question's intent
+    unless one is given. Where no sentence fits, the answer is the start of the first chunk; where
+    there are no chunks, or no candidates for the sentence style, that nothing was found.
+    """
+    kind = need(intent(F.col("question")))
+    named = F.lit(style) if style else F.coalesce(*(F.when(kind == k, v) for k, v in STYLE_OF.items()), F.lit("sentence"))
+    of = lambda field: F.coalesce(*(F.when(F.col("style") == k, getattr(v, field)) for k, v in STYLES.items() if getattr(v, field) is not None), F.lit(None).cast("int"))
+    terms = F.when(named == "procedural", verbs).when(named == "definitional", concepts).when(named == "sentence", keywords)
+    q = questions.select(F.col(question), F.col("question").alias("asked"), named.alias("style"), terms.alias("terms"))
+    s = chunks.select(question, "chunk_idx", "text").join(q, question).where(F.col("chunk_idx") < of("chunks"))
+    s = s.select(question, "asked", "style", "terms", "chunk_idx", F.posexplode(sentences(F.col("text"))).alias("sent_idx", "s")).withColumn("sentence", F.trim("s"))
+    shouted = (F.col("style") == "sentence") & (F.col("sentence") == F.upper("sentence")) & F.col("sentence").rlike(r"\p{L}") & (F.length("sentence") < 50)
+    s = s.where((F.size(words(F.col("sentence"))) >= of("words")) & ~shouted)
+    low = F.lower("sentence")
+    held = lambda parts: F.coalesce(F.size(F.filter(parts, lambda x: F.contains(low, x))), F.lit(0))
+    score = similarity(F.col("sentence"), F.col("asked")) + 1.0 / (F.col("chunk_idx") + 1) * of("position") + F.greatest(held(F.col("terms")), F.lit(0)) * of("terms")
+    score += F.when(F.col("sentence").rlike(r"\d"), of("digits")).otherwise(0.0)
+    for k, v in STYLES.items():
+        if v.markers[1]:
+            score += F.when(F.col("style") == k, held(F.array(*map(F.lit, v.markers[1]))) * v.markers[0]).otherwise(0.0)
+    s = s.withColumn("score", score)
+    best = Window.partitionBy(question).orderBy(F.desc("score"), "chunk_idx", "sent_idx")
+    s = s.withColumn("r", F.row_number().over(best)).where(F.coalesce(F.col("r") <= of("top"), F.lit(True)))
+    listed = s.groupBy(question).agg(F.array_sort(F.collect_list(F.struct("r", "sentence", "chunk_idx"))).alias("xs"))
+    first = chunks.groupBy(question).agg(F.min_by("text", "chunk_idx").alias("first"))
+    out = q.join(listed, question, "left").join(first, question, "left")
+    parts = chosen(F.coalesce("xs", F.array().cast(listed.schema["xs"].dataType)), of("budget"), of("most"), of("enough"))
+    out = out.withColumn("parts", parts)
+    joined = F.array_join(F.transform("parts", lambda x: x["sentence"]), " ")
+    text = (
+        F.when(F.size("parts") > 0, F.when(F.col("style") == "sentence", squeezed(joined)).otherwise(joined))
+        .when(F.col("first").isNull() | ((F.col("style") == "sentence") & F.col("xs").isNull()), NOTHING).otherwise(F.left("first", of("budget")))
+    )
+    return out.select(question, "style", text.alias("answer"), F.size("parts").cast("long").alias("n_sentences"), F.transform("parts", lambda x: x["chunk_idx"]).alias("used"))
+
+
+def arbitrated(questions: DataFrame, forum: DataFrame, rulebook: DataFrame, question: str, weight: float = 0.45) -> DataFrame:
     """question, source, forum_confidence and rulebook_confidence: the source whose best score, weighted, is higher.
 
     Both hold question, rank (from 1) and score; scores over 1 are moved down by 1.
-    Ties go to the rulebook; where it has no hits, to the forum.
+    Ties go to the rulebook; where it has no hits, to the forum; where neither has, to none.
     """
     best = lambda df, c: df.where("rank = 1").select(question, F.when(F.col("score") > 1, F.least(F.lit(1.0), F.col("score") - 1)).otherwise(F.col("score")).alias(c))
-    both = best(forum, "f").join(best(rulebook, "r"), question, "full")
+    both = questions.select(question).join(best(forum, "f"), question, "left").join(best(rulebook, "r"), question, "left")
     f, r = F.coalesce("f", F.lit(0.0)), F.coalesce("r", F.lit(0.0))
-    source = F.when(f * weight > r * (1 - weight), "forum").when(F.col("r").isNotNull(), "rulebook").otherwise("forum")
+    source = F.when(F.col("f").isNull() & F.col("r").isNull(), "none").when(f * weight > r * (1 - weight), "forum").when(F.col("r").isNotNull(), "rulebook").otherwise("forum")
     return both.select(question, source.alias("source"), f.alias("forum_confidence"), r.alias("rulebook_confidence"))

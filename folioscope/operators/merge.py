@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.layout import TOPICS, same_topic
 from ..functions.quality import confidence, text_quality
 from ..functions.text import normalised
-from .chunk import tasks
+from .common import tasks
 
 ALIKE = 80.0
 
@@ -51,6 +51,15 @@ def token_set_ratio(a: str, b: str, least: float = 0.0) -> float:
     return best if best >= least else 0.0
 
 
+def token_set_likeness(a: Column, b: Column) -> Column:
+    """token_set_ratio of two columns by an Arrow UDF; nulls count as empty."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return F.pandas_udf(run, "double")(a, b)
+
+
 def _claims(pdf: pd.DataFrame, ocr: pd.DataFrame, least: float) -> list[tuple]:
     """pdf index, ocr index, similarity: in order each pdf chunk claims its best free match; ties go to the first."""
     if pdf.empty or ocr.empty:

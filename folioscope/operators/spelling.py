@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunk import tasks
+from .common import tasks
 
 
 @dataclass(frozen=True)

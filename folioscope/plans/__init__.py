@@ -1,6 +1,6 @@
 """Queries by name."""
 
 from . import registry  # isort: skip
-from . import qa  # isort: skip
+from . import batch, qa, search
 
-__all__ = ["qa", "registry"]
+__all__ = ["batch", "qa", "registry", "search"]

@@ -10,9 +10,9 @@ from ..functions import layout as L
 from ..functions import questions as Q
 from ..functions import scores as C
 from ..functions import text as T
-from ..operators import answer, chunk, learning, merge, retrieve, spelling, threads
+from ..operators import chunk, learning, merge, spelling, threads
 from ..sources import html, sinks
-from .registry import NEAR_SQL, NORM_SQL, co_hybrid, co_keyword_search, nearest, query, read
+from .registry import query, read
 
 
 def _quoted(s: str) -> str:
@@ -194,47 +194,6 @@ def ag_terms(spark, d):
     return w.groupBy(F.lower("w").alias("key")).agg(F.min("w").alias("term"), F.count("*").alias("n"))
 
 
-@query()
-def co_extractive(spark, d):
-    """An extractive answer to each item from its 15 best documents (a top-k report)."""
-    hits = co_keyword_search(spark, d).where("rank <= 15").join(read(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    listed = hits.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("chunks"))
-    return listed.select("item_id", answer.extractive(F.col("chunks")).alias("answer"))
-
-
-@query()
-def co_sentence_answer(spark, d):
-    """The sentences of each item's 10 best documents that share most key words with it, put together."""
-    hits = co_keyword_search(spark, d).where("rank <= 10").join(read(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumn("chunk_idx", F.col("rank") - 1)
-    asked = read(spark, d, "benchmark").select("item_id", T.key_words(F.col("text")).alias("k"))
-    c = answer.sentence_candidates(hits, "item_id").join(asked, "item_id")
-    return answer.assembled(c.withColumn("score", answer.boosted(T.jaccard(F.col("k"), T.key_words(F.col("sentence"))), F.col("chunk_idx"))), "item_id")
-
-
-SWEEP = (0.0, 0.25, 0.5, 0.75, 1.0)
-HYBRID_SQL = f"""{NEAR_SQL}, k AS (SELECT qid, e.vec_id, 1.0 / (1 + e.vec_id) AS score FROM embeddings e, q WHERE e.vec_id <= 20),
- vn AS (SELECT qid, vec_id, {NORM_SQL} AS v_norm FROM v WINDOW w AS (PARTITION BY qid)), kn AS (SELECT qid, vec_id, {NORM_SQL} AS k_norm FROM k WINDOW w AS (PARTITION BY qid)),
- h AS (SELECT qid, vec_id, round(coalesce(v_norm, 0), 6) AS v_norm, round(coalesce(k_norm, 0), 6) AS k_norm FROM vn FULL JOIN kn USING (qid, vec_id))"""
-
-
-@query(f"""{HYBRID_SQL}, b AS (SELECT qid, weight, max(weight * v_norm + (1 - weight) * k_norm) AS best FROM h, (SELECT unnest([{", ".join(map(str, SWEEP))}]) AS weight) GROUP BY ALL)
- SELECT weight::DOUBLE AS weight, round(avg(best), 6) AS mean, round(min(best), 6) AS least, round(max(best), 6) AS most, count(*) FILTER (best >= 0.8) AS passed FROM b GROUP BY 1""")
-def co_weight_sweep(spark, d):
-    """Best hybrid scores for five weights: one plan, each hit with every weight."""
-    each = co_hybrid(spark, d).select("qid", "v_norm", "k_norm", F.explode(F.array(*map(F.lit, SWEEP))).alias("weight"))
-    best = each.groupBy("qid", "weight").agg(F.max(F.col("weight") * F.col("v_norm") + (1 - F.col("weight")) * F.col("k_norm")).alias("best"))
-    return best.groupBy("weight").agg(F.round(F.avg("best"), 6).alias("mean"), F.round(F.min("best"), 6).alias("least"), F.round(F.max("best"), 6).alias("most"), F.count_if(F.col("best") >= 0.8).alias("passed"))
-
-
-@query(f"""{HYBRID_SQL}, f AS (SELECT qid, CASE WHEN max(score) > 1 THEN least(1.0, max(score) - 1) ELSE max(score) END AS f FROM v GROUP BY 1), r AS (SELECT qid, max(round(0.85 * v_norm + 0.15 * k_norm, 9)) AS r FROM h GROUP BY 1)
- SELECT qid, CASE WHEN f * 0.45 > r * 0.55 THEN 'forum' ELSE 'rulebook' END AS source, round(f, 9) AS forum_confidence, round(r, 9) AS rulebook_confidence FROM f JOIN r USING (qid)""")
-def co_dual_source(spark, d):
-    """Vector hits as the forum's and hybrid hits as the rulebook's: the source of the higher weighted confidence."""
-    hybrid = retrieve.top(co_hybrid(spark, d).withColumn("score", F.round(0.85 * F.col("v_norm") + 0.15 * F.col("k_norm"), 9)), "qid", "vec_id", 5)
-    out = answer.arbitrated(nearest(spark, d), hybrid, "qid")
-    return out.select("qid", "source", *(F.round(c, 9).alias(c) for c in ("forum_confidence", "rulebook_confidence")))
-
-
 @query("""SELECT 'rulebook_0_' || doc_id AS _id, doc_id AS idx, 50.0::DOUBLE AS quality_score, 'unknown' AS extraction_method, len(embedding)::BIGINT AS dims FROM documents JOIN embeddings ON vec_id = doc_id WHERE text <> '' AND len(embedding) = 64""")
 def sk_index(spark, d):
     """Documents of the index with their vectors, defaults filled; rejected rows left out."""

@@ -69,14 +69,15 @@ def sf_sigmoid(spark, d):
 
 RUNS = "|".join(f"{c}{{5,}}" for c in "abcdefghijklmnopqrstuvwxyz")
 LONG_RUNS = RUNS.replace("5", "8")
-QUALITY_SQL = rf"""SELECT *, CASE WHEN length(text) >= 20 THEN greatest(0, least(100, 100 - 5 * len(regexp_extract_all(lower(text), '{RUNS}'))
- - CASE WHEN letters <= 20 THEN 0 WHEN ratio < 0.25 THEN 20 WHEN ratio < 0.30 THEN 10 WHEN ratio > 0.55 THEN 15 ELSE 0 END
- - 5 * len(regexp_extract_all(text, '\.{{6,}}'))
- + least(20, 2 * len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: len(list_filter(regexp_split_to_array(trim(s), '\s+'), lambda w: w <> '')) BETWEEN 3 AND 50)))
- - CASE WHEN len(ws) >= 5 THEN 3 * len(list_filter(ws, lambda w: length(w) > 3 AND regexp_matches(w, '[a-z][A-Z]'))) ELSE 0 END
- - CASE WHEN length(text) < 100 THEN 10 ELSE 0 END)) ELSE 0 END::DOUBLE AS quality
- FROM (SELECT *, len(regexp_extract_all(text, '[A-Za-z]')) AS letters, len(regexp_extract_all(text, '[aeiouAEIOU]')) / greatest(1, len(regexp_extract_all(text, '[A-Za-z]'))) AS ratio,
- list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '') AS ws FROM documents)"""
+SHARE = "regexp_replace({t}, '[^a-zA-Z ]', '', 'g')"
+ODD = "CASE WHEN length(c) > 20 THEN length(regexp_replace(c, '[^aeiouAEIOU ]', '', 'g')) / length(c) END"
+SPLIT_SQL = r"list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> '')"
+QUALITY_SQL = rf"""SELECT doc_id, text, lang, source, CASE WHEN text IS NULL OR length(text) < 20 THEN 0.0 ELSE greatest(0, least(100,
+ 100 - 5 * runs - CASE WHEN v < 0.25 THEN 20 WHEN v < 0.30 THEN 10 WHEN v > 0.55 THEN 15 ELSE 0 END - 5 * dots + least(2 * proper, 20)
+ - CASE WHEN len(ws) >= 5 THEN 3 * len(list_filter(ws, lambda w: length(w) > 3 AND regexp_matches(w[2:], '\p{{Lu}}') AND regexp_matches(w, '\p{{Ll}}'))) ELSE 0 END
+ - CASE WHEN length(text) < 100 THEN 10 ELSE 0 END)) END::DOUBLE AS quality
+ FROM (SELECT *, {ODD} AS v FROM (SELECT *, {SHARE.format(t="text")} AS c, len(regexp_extract_all(lower(text), '{RUNS}')) AS runs, len(regexp_extract_all(text, '\.{{6,}}')) AS dots, {SPLIT_SQL.format(t="text")} AS ws,
+ len(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: len({SPLIT_SQL.format(t="s")})), lambda n: n BETWEEN 3 AND 50)) AS proper FROM documents))"""
 
 
 def rated(spark, d):
@@ -97,62 +98,14 @@ def op_confidence(spark, d):
 
 @query(rf"""SELECT doc_id, i - 1 AS para_idx, CASE WHEN regexp_matches(trim(p), '^[0-9]{{1,3}}$') THEN 'page number' WHEN length(trim(p)) < 20 THEN 'short'
  WHEN regexp_matches(lower(p), '{LONG_RUNS}') OR regexp_matches(p, '\.{{8,}}') OR len(regexp_extract_all(lower(p), '{RUNS}')) >= 3
- OR (len(regexp_extract_all(p, '[A-Za-z]')) > 20 AND len(regexp_extract_all(p, '[aeiouAEIOU]')) / len(regexp_extract_all(p, '[A-Za-z]')) < 0.15) THEN 'corrupt' END AS skip_reason
+ OR (length({SHARE.format(t="p")}) > 20 AND length(regexp_replace(p, '[^aeiouAEIOU ]', '', 'g')) / length({SHARE.format(t="p")}) < 0.15) THEN 'corrupt' END AS skip_reason
  FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents))""")
 def fi_paragraphs(spark, d):
     p = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_idx", "p"))
     return p.select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), Q.skip_reason(F.col("p")).alias("skip_reason"))
 
 
-# Retrieval
-
 TOKENS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-BM25_SQL = rf"""WITH d AS (SELECT doc_id, {TOKENS_SQL} AS ts FROM documents), l AS (SELECT doc_id, len(ts) AS dl, ts FROM d),
- st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS mean FROM l), q AS (SELECT item_id, unnest(list_distinct({TOKENS_SQL})) AS token FROM benchmark),
- qs AS (SELECT item_id, count(*) AS asked FROM q GROUP BY 1), e AS (SELECT doc_id, dl, unnest(ts) AS token FROM l),
- p AS (SELECT doc_id, dl, token, count(*) AS tf FROM e WHERE token IN (SELECT token FROM q) GROUP BY ALL),
- f AS (SELECT token, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, st GROUP BY token, n),
- s AS (SELECT item_id, doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score, count(*) AS found FROM p JOIN f USING (token) JOIN q USING (token), st GROUP BY 1, 2)"""
-
-
-@query(f"""{BM25_SQL}, m AS (SELECT item_id, doc_id, score FROM s JOIN qs USING (item_id) WHERE found = asked),
- k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM m) SELECT item_id, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 25""")
-def co_keyword_search(spark, d):
-    """The 25 best documents that hold every token of each item (a top-k report)."""
-    hits = R.bm25(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "item_id")
-    return R.top(hits.withColumn("score", F.round("score", 6)), "item_id", "doc_id", 25).withColumn("rank", F.col("rank").cast("long"))
-
-
-NEAR_SQL = """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
- s AS (SELECT qid, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q) + 1, 6) AS score FROM embeddings, q WHERE vec_id <> qid),
- v AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 25)"""
-
-
-def nearest(spark, d):
-    vectors = read(spark, d, "embeddings").select("vec_id", "embedding")
-    queries = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return R.vector_search(vectors, queries, 25).withColumn("rank", F.col("rank").cast("long"))
-
-
-@query(f"{NEAR_SQL} SELECT * FROM v")
-def co_vector_search(spark, d):
-    """The 25 nearest of all vectors to each stated query (ids divisible by 100)."""
-    return nearest(spark, d)
-
-
-NORM_SQL = "CASE WHEN min(score) OVER w >= 0.9 AND max(score) OVER w <= 2.1 THEN greatest(0, least(1, score - 1)) WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END"
-
-
-@query(f"""{NEAR_SQL}, k AS (SELECT qid, label AS x, e.vec_id, 1.0 / (1 + e.vec_id) AS score FROM embeddings e, q WHERE e.vec_id <= 20),
- vn AS (SELECT qid, vec_id, {NORM_SQL} AS v_norm FROM v WINDOW w AS (PARTITION BY qid)), kn AS (SELECT qid, vec_id, {NORM_SQL} AS k_norm FROM k WINDOW w AS (PARTITION BY qid))
- SELECT qid, vec_id, round(coalesce(v_norm, 0), 6) AS v_norm, round(coalesce(k_norm, 0), 6) AS k_norm, round(0.85 * coalesce(v_norm, 0) + 0.15 * coalesce(k_norm, 0), 6) AS score FROM vn FULL JOIN kn USING (qid, vec_id)""")
-def co_hybrid(spark, d):
-    """Vector hits merged with a second ranked list (the first vectors by id, a stand-in list)."""
-    vectors = read(spark, d, "embeddings")
-    queries = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"))
-    listed = vectors.where("vec_id <= 20").select("vec_id", (1.0 / (1 + F.col("vec_id"))).alias("score")).join(queries, F.lit(True))
-    out = R.hybrid(nearest(spark, d), listed, "qid", "vec_id")
-    return out.select("qid", "vec_id", *(F.round(c, 6).alias(c) for c in ("v_norm", "k_norm", "score")))
 
 
 # Aggregation

@@ -168,11 +168,10 @@ def test_assembly(spark):
         answer.extractive(F.array(F.lit("a" * 500), F.lit(""), F.lit("Bb. " + "c" * 400), F.lit("d"))).alias("part"), answer.extractive(F.array().cast("array<string>")).alias("none"),
     ).first()
     assert rows["part"] == "a" * 500 + " Bb." and rows["none"] == answer.NOTHING
-    c = spark.createDataFrame([(1, 0, 0, "One two three.", 0.5), (1, 0, 1, "one  two three.", 0.4), (1, 1, 0, "x" * 601, 0.9), (1, 1, 1, "Four five six.", 0.3)], "q int, chunk_idx int, sent_idx int, sentence string, score double")
-    assert [tuple(r) for r in answer.assembled(c, "q").collect()] == [(1, "One two three. Four five six.", 2)]
     f = spark.createDataFrame([(1, 1, 1.9), (2, 1, 1.1), (4, 1, 1.2)], "q int, rank int, score double")
     r = spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.5), (3, 1, 0.2)], "q int, rank int, score double")
-    assert {x["q"]: x["source"] for x in answer.arbitrated(f, r, "q").collect()} == {1: "forum", 2: "rulebook", 3: "rulebook", 4: "forum"}
+    q = spark.range(1, 6).withColumnRenamed("id", "q")
+    assert {x["q"]: x["source"] for x in answer.arbitrated(q, f, r, "q").collect()} == {1: "forum", 2: "rulebook", 3: "rulebook", 4: "forum", 5: "none"}
 
 
 POSTS = [
