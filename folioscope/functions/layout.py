@@ -34,6 +34,38 @@ TOPICS = (
 )
 
 
+SECTIONS = (
+    "setup", "game setup", "objective", "goal", "components", "overview", "gameplay", "game play", "turn structure", "player turn", "phases", "actions", "movement", "combat", "trading", "resources",
+    "winning", "end game", "end of game", "victory", "scoring", "special rules", "variants", "solo mode", "team play", "reference", "quick reference", "glossary", "FAQ", "clarifications",
+    "mission", "enemies", "anomalies", "artifacts", "equipment", "weapons", "armor", "radiation", "attention", "status", "tokens",
+)
+
+
+def section_name(t: Column, before: Column | None = None) -> Column:
+    """A section's name from a paragraph: after a number, before a bar, a short first line like a title, a line with a section's word; else before."""
+    found = lambda p: F.when(t.rlike(p), F.trim(F.regexp_extract(t, p, 1)))
+    lines = F.split(t, "\n")
+    line = F.trim(F.get(lines, F.lit(0)))
+    capitals = F.length(F.regexp_replace(line, r"\P{Lu}", ""))
+    titled = ((line == F.upper(line)) & line.rlike(r"\p{L}")) | (line.rlike(r"^\p{Lu}") & (capitals >= 2))
+    n = F.size(words(line))
+    named = any_of(F.lower(line), [s.lower() for s in SECTIONS]) & (~line.endswith(".") | (n <= 6))
+    title = F.when((line != "") & (F.length(line) < 60) & titled & (named | ((n <= 8) & ~line.endswith("."))), line)
+
+    def by_word(s: str) -> Column:
+        near = F.filter(F.slice(lines, 1, 3), lambda x: F.contains(F.lower(x), F.lit(s.lower())))
+        short = F.filter(F.transform(near, lambda x: F.trim(F.regexp_replace(x, r"^\|+|\|+$", ""))), lambda x: F.length(x) < 60)
+        return F.when(F.substring(t, 1, 150).rlike(rf"(?i)\b{s}\b"), F.coalesce(F.get(short, F.lit(0)), F.lit(s.title())))
+
+    return F.coalesce(found(r"^\d+\.?\d*\s+([A-Z][A-Za-z\s]{2,50})"), found(r"^\|?\s*([A-Z][A-Za-z\s&]{3,50})\s*\|"), title, *map(by_word, SECTIONS), *([] if before is None else [before]))
+
+
+def is_header(line: Column) -> Column:
+    """A line of up to 40 characters in capitals or with over three of them."""
+    capitals = F.length(F.regexp_replace(line, r"\P{Lu}", ""))
+    return (F.length(line) <= 40) & (((line == F.upper(line)) & line.rlike(r"\p{Lu}")) | (capitals > 3))
+
+
 def caps_heading(t: Column, barred: Sequence[str] = NOT_HEADINGS) -> Column:
     """A section's heading: 2 to 15 words of 2 letters and more, all in capitals, in at most 100 characters."""
     w = words(F.regexp_replace(t, r"[^\p{L}\p{N}_\s]", ""))

@@ -43,6 +43,11 @@ def need(kind: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in NEEDS.items() for x in pair)), kind)
 
 
+def needs(kind: Column) -> Column:
+    """struct of six flags, one for each need: what an answer to a question of this intent needs."""
+    return F.struct(*(F.coalesce(need(kind) == n, F.lit(False)).alias(f"needs_{n}") for n in NEEDS.values()))
+
+
 def question_type(q: Column) -> Column:
     """The first type of which a key word occurs, inside words as well; else general."""
     return F.coalesce(*(F.when(any_of(F.lower(q), words), name) for name, words in TYPES), F.lit("general"))
@@ -84,6 +89,19 @@ def split_questions(t: Column) -> Column:
     return let(good, lambda g: F.when(F.size(g) > 0, g).otherwise(F.array(t)))
 
 
+def all_questions(title: Column, content: Column) -> Column:
+    """Every question of a first post; the title's alone where there is no text; a short title leads a lone one that doesn't ask by itself."""
+    t, body = F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(content, F.lit("")))
+    none = F.array().cast("array<string>")
+
+    def led(qs: Column) -> Column:
+        q = F.get(qs, F.lit(0))
+        leads = (F.size(qs) == 1) & (t != "") & ~first_word(q).isin(*ASKING) & (F.length(cleaned(t)) < 80)
+        return F.when(leads, F.array(F.concat(cleaned(t), F.lit(": "), q))).otherwise(qs)
+
+    return F.when((body == "") & (t == ""), none).when(body == "", F.array(cleaned(t))).otherwise(let(split_questions(body), led))
+
+
 def extract(title: Column, content: Column) -> Column:
     """The question that a thread asks; nulls count as empty, null where both are empty."""
     body = F.trim(F.coalesce(content, F.lit("")))

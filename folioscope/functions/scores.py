@@ -87,5 +87,31 @@ def interpretation(score: Column) -> Column:
     return F.coalesce(*(F.when(score >= at, said) if at is not None else F.lit(said) for at, said in BANDS))
 
 
+def explained(parts: Mapping[str, Column], answer: Column, weights: Mapping[str, float] = WEIGHTS) -> Column:
+    """The scores of an answer as text."""
+    whole = overall(parts, weights)
+    lines = [F.format_string("Overall Score: %.3f", whole), F.lit(""), F.lit("Breakdown:")]
+    lines += [F.format_string(f"  {k.capitalize() + ':':<13} %.3f (weight: {round(w * 100)}%%)", parts[k]) for k, w in weights.items()]
+    lines += [F.lit(""), F.format_string("Answer length: %d characters", F.length(answer)), F.lit(""), F.concat(F.lit("Interpretation: "), interpretation(whole))]
+    return F.array_join(F.array(*lines), "\n")
+
+
+def sequence_likeness(a: Column, b: Column) -> Column:
+    """Share of matching blocks in both texts (0 to 1) by an Arrow UDF; nulls count as empty."""
+    import difflib
+
+    import pandas as pd
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return F.pandas_udf(run, "double")(a, b)
+
+
+def shown_quality(x: Column) -> Column:
+    """A quality as a whole number of 1 to 10, halves to even."""
+    return F.greatest(F.lit(1), F.least(F.lit(10), F.bround(x).cast("int")))
+
+
 def band(x: Column, high: float, medium: float) -> Column:
     return F.when(x >= high, "high").when(x >= medium, "medium").otherwise("low")

@@ -92,3 +92,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def any_of(t: Column, parts: Sequence[str]) -> Column:
     """Whether any part occurs in t, inside words as well."""
     return t.rlike("|".join(re.escape(p) for p in parts))
+
+
+def whole_words_replaced(t: Column, pairs: Column) -> Column:
+    """t with each pair's original (an array of structs original, correction) replaced where it is a whole word, in any case."""
+    quoted = lambda w: F.concat(F.lit(r"(?i)\b\Q"), w, F.lit(r"\E\b"))
+    plain = lambda w: F.regexp_replace(w, r"([\\$])", r"\\$1")
+    return F.aggregate(pairs, t, lambda s, p: F.regexp_replace(s, quoted(p["original"]), plain(p["correction"])))
+
+
+# Fixed values.
+ENGLISH = ("yes", "no", "the", "is", "are", "this", "that", "what", "where", "when", "how")
+
+
+def language(t: Column, detected: Column) -> Column:
+    """A detector's language, but en for texts under 20 characters, for those under 50 with a common English word, and where it found none; unknown without text."""
+    short = (F.length(t) < 50) & any_of(F.lower(t), ENGLISH)
+    return F.when(F.coalesce(t, F.lit("")) == "", "unknown").when((F.length(t) < 20) | short, "en").otherwise(F.coalesce(detected, F.lit("en")))
