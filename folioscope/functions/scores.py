@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,9 +100,6 @@ def explained(parts: Mapping[str, Column], answer: Column, weights: Mapping[str,
 
 def sequence_likeness(a: Column, b: Column) -> Column:
     """Share of matching blocks in both texts (0 to 1) by an Arrow UDF; nulls count as empty."""
-    import difflib
-
-    import pandas as pd
 
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)], dtype=float)

@@ -119,3 +119,44 @@ def merge(pdf: DataFrame, ocr: DataFrame, book: str = "book", least: float = ALI
     rest = o.join(claimed, [book, "idx"], "left_anti").select(book, "idx", "text", "section", "quality", F.lit("ocr").alias("method"), F.lit(False).alias("variant"), F.lit(False).alias("alternative"), F.lit(None).cast("double").alias("similarity"))
     out = kept.unionByName(rest)
     return out.withColumn("confidence", confidence(F.col("quality"), F.col("method"), F.coalesce("section", F.lit("")), F.col("variant"))).drop("section")
+
+
+UNIFIED = {
+    "text": "string", "answer": "string", "source_type": "string", "extraction_method": "string", "priority": "int", "quality_score": "double", "extraction_confidence": "double", "page": "bigint", "section": "string", "chunk_index": "bigint",
+    "doc_type": "string", "thread_id": "string", "url": "string", "answer_user": "string", "qa_id": "string", "faq_id": "string", "semantic_variant": "boolean", "alt_source_available": "boolean", "similarity_to_alt": "double",
+}
+
+
+def _unified(df: DataFrame) -> DataFrame:
+    return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in UNIFIED.items()))
+
+
+def all_sources(pdf: DataFrame | None = None, ocr: DataFrame | None = None, faq: DataFrame | None = None, forum: DataFrame | None = None, book: str = "book", least: float = ALIKE) -> DataFrame:
+    """Chunks of all given sources with the columns of UNIFIED; two extractions are merged, one alone is kept as it is.
+
+    pdf and ocr hold book, chunk_index (unique within it), page, text and section. Order by page and
+    chunk_index (missing ones as 0) gives the merged document's.
+    """
+    if pdf is None and ocr is None and faq is None and forum is None:
+        raise ValueError("at least one source is needed")
+    parts = []
+    rules = [(m, df) for m, df in (("pdf", pdf), ("ocr", ocr)) if df is not None]
+    if len(rules) == 2:
+        lean = lambda df: df.select(book, F.col("chunk_index").alias("idx"), "text", "section")
+        m = merge(lean(pdf), lean(ocr), book, least).withColumnRenamed("idx", "chunk_index")
+        places = pdf.select(book, "chunk_index", "page", "section", F.lit("pdf").alias("method")).unionByName(ocr.select(book, "chunk_index", "page", "section", F.lit("ocr").alias("method")))
+        m = m.join(places, [book, "chunk_index", "method"]).withColumnsRenamed({"method": "extraction_method", "quality": "quality_score", "confidence": "extraction_confidence", "variant": "semantic_variant", "alternative": "alt_source_available", "similarity": "similarity_to_alt"})
+        parts.append(m.withColumns({"source_type": F.lit("rulebook"), "priority": F.lit(50)}))
+    for method, df in rules if len(rules) == 1 else []:
+        q = text_quality(F.col("text"))
+        parts.append(df.withColumns({"source_type": F.lit("rulebook"), "priority": F.lit(50), "extraction_method": F.lit(method), "quality_score": q, "extraction_confidence": confidence(q, F.lit(method), F.coalesce("section", F.lit("")), F.lit(False))}))
+    parts += [df for df in (faq, forum) if df is not None]
+    out = _unified(parts[0])
+    for part in parts[1:]:
+        out = out.unionByName(_unified(part))
+    return out
+
+
+def in_order(merged: DataFrame) -> DataFrame:
+    """Merged chunks by page and chunk_index, missing ones as 0."""
+    return merged.orderBy(F.coalesce("page", F.lit(0)), F.coalesce("chunk_index", F.lit(0)))

@@ -139,7 +139,7 @@ def chunk_format(chunks: DataFrame, order: Sequence[str], sample: int = 20) -> D
 
 def chunk_details(hits: DataFrame, question: str, first: int = 5) -> DataFrame:
     """The first chunks of each question as a debug view shows them: by source text, score, place, author, address and quality."""
-    forum, faq = F.col("source_type") == "forum", F.col("source_type") == "faq"
+    forum, faq = F.col("source_type").eqNullSafe("forum"), F.col("source_type").eqNullSafe("faq")
     answer = F.coalesce("answer", F.lit(""))
     shifted = F.when(F.col("score") > 1, F.least(F.lit(1.0), F.col("score") - 1)).otherwise(F.col("score"))
     return hits.where(F.col("rank") <= first).select(

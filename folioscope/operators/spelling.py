@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.analysis import entities
+from ..functions.text import whole_words_replaced
 from .common import tasks
 
 
@@ -170,6 +172,22 @@ def pieces(t: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(r"(?U)\w+|\W+"), F.lit(0))
 
 
+def question_corrections(questions: DataFrame, lex: Lexicon) -> DataFrame:
+    """questions with question corrected, and corrections (original, correction) in the order of the words.
+
+    Terms of the lexicon and words of entities that a question names stay as they are; each other
+    wrong word is replaced wherever it stands as a whole word.
+    """
+    parts = questions.select("qid", "question", F.posexplode(pieces(F.col("question"))).alias("pos", "word"))
+    fixed = parts.join(corrections(parts, lex), "word")
+    named = F.transform(entities(F.col("question")), lambda x: F.lower(F.substring_index(x, ":", -1)))
+    barred = F.concat(named, F.flatten(F.transform(named, lambda x: F.split(x, " "))))
+    fixed = fixed.where(~F.array_contains(barred, F.lower("word")))
+    each = fixed.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word", "correction"))), lambda x: F.struct(x["word"].alias("original"), x["correction"].alias("correction"))).alias("corrections"))
+    out = questions.join(each, "qid", "left").withColumn("corrections", F.coalesce("corrections", F.array().cast(each.schema["corrections"].dataType)))
+    return out.withColumn("question", whole_words_replaced(F.col("question"), F.col("corrections")))
+
+
 def corrected(docs: DataFrame, lex: Lexicon, id_col: str, text_col: str = "text") -> DataFrame:
     """id, text and corrections of each document (ids are unique); a null text stays null.
 

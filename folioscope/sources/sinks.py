@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import time
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INDEX_DEFAULTS = {"quality_score": 50.0, "extraction_confidence": 0.5, "extraction_method": "unknown", "priority": 50, "doc_type": "", "section": "", "answer": "", "url": ""}
@@ -39,10 +43,98 @@ def delete_source(index: DataFrame, source_type: str, path: str) -> None:
     index.where(~F.col("source_type").eqNullSafe(F.lit(source_type))).write.mode("overwrite").partitionBy("source_type").parquet(path)
 
 
-def write_results(results: DataFrame, path: str, archive: str) -> None:
-    """One CSV file each, now and for the archive."""
+def write_results(results: DataFrame, path: str, archive: str, started: float | None = None) -> str:
+    """Results (a row for each question) as one CSV file now and one for the archive, whose path it gives.
+
+    started (a time of time.time()): the archive's name gets the date and the elapsed seconds.
+    """
+    if started is not None:
+        archive = f"{archive}_{datetime.now():%Y-%m-%d_%H-%M-%S}_{int(time.time() - started)}s.csv"
     for p in (path, archive):
         results.coalesce(1).write.mode("overwrite").csv(p, header=True, escape='"')
+    return archive
+
+
+def write_chunks(chunks: DataFrame, path: str, archive: str | None = None) -> list[str]:
+    """Chunks as Parquet and as JSON, with dated copies of both in archive; the paths written."""
+    out = [f"{path}.parquet", f"{path}.json"]
+    chunks.write.mode("overwrite").parquet(out[0])
+    kept = chunks.sparkSession.read.parquet(out[0])  # written once, read for the copies
+    kept.write.mode("overwrite").json(out[1])
+    if archive is not None:
+        stamp = f"{archive}_{datetime.now():%Y%m%d_%H%M%S}"
+        kept.write.parquet(f"{stamp}.parquet")
+        kept.write.json(f"{stamp}.json")
+        out += [f"{stamp}.parquet", f"{stamp}.json"]
+    return out
+
+
+def write_lines(lines: DataFrame, path: str, *order: str) -> None:
+    """The column line as one text file in that order: reports, headers."""
+    lines.orderBy(*order).select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_headers(headers: DataFrame, path: str) -> None:
+    """Distinct headers in order, one a line."""
+    write_lines(headers.select(F.col("header").alias("line")).where("line is not null").distinct(), path, "line")
+
+
+def write_record(record: DataFrame, path: str) -> None:
+    """A report or manifest of one row as JSON."""
+    record.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_pairs(pairs: DataFrame, summary: DataFrame, path: str, archive: str) -> None:
+    """Question and answer pairs now and in a dated archive, their summary beside them."""
+    pairs.write.mode("overwrite").json(path)
+    pairs.sparkSession.read.schema(pairs.schema).json(path).write.json(f"{archive}_{datetime.now():%Y%m%d_%H%M%S}")
+    write_record(summary, f"{path}_summary")
+
+
+def write_threads(threads: DataFrame, path: str) -> None:
+    """Threads as JSON by language, with a manifest of how many there are."""
+    threads.write.mode("overwrite").partitionBy("language").json(path)
+    write_record(threads.agg(F.count("*").alias("threads"), F.coalesce(F.sum(F.size("posts")), F.lit(0)).alias("posts"), F.sort_array(F.collect_set("language")).alias("languages")), f"{path}_manifest")
+
+
+def write_rejects(paragraphs: DataFrame, path: str) -> DataFrame:
+    """Paragraphs (with skip_reason) that are kept; the others are written by reason."""
+    paragraphs.where("skip_reason is not null").write.mode("overwrite").partitionBy("skip_reason").json(path)
+    return paragraphs.where("skip_reason is null").drop("skip_reason")
+
+
+def with_fields(index: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """index with further fields (name and type), null where they were not there before."""
+    return index.withColumns({k: F.lit(None).cast(v) for k, v in fields.items() if k not in index.columns})
+
+
+def filled(index: DataFrame, field: str, value: object) -> DataFrame:
+    """index with value where the field is missing."""
+    return index.withColumn(field, F.coalesce(F.col(field), F.lit(value)) if field in index.columns else F.lit(value))
+
+
+def backup(spark: SparkSession, path: str) -> str | None:
+    """Move what is at path aside under a dated name, which it gives; None where there is nothing."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    at = fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return None
+    aside = f"{path}.{datetime.now():%Y%m%d_%H%M%S_%f}.bak"
+    store.rename(at, fs.Path(aside))
+    return aside
+
+
+def update_config(spark: SparkSession, path: str, characters: dict[str, str], patterns: list[dict[str, str]]) -> dict:
+    """Learnt settings added to those of a JSON file, where entries that are there win; the file is kept aside first. Settings have the driver's size."""
+    from .readers import config
+
+    old = config(spark, path)
+    have = {p.get("pattern") for p in old["word_patterns"]}
+    new = old | {"character_map": characters | old["character_map"], "word_patterns": old["word_patterns"] + [p for p in patterns if p.get("pattern") not in have]}
+    backup(spark, path)
+    spark.createDataFrame([(json.dumps(new, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
+    return new
 
 
 def write_terms(terms: DataFrame, path: str) -> None:
