@@ -8,16 +8,14 @@ meet any text that it can be linked to reaches the target recall: the least
 likeness at or above the threshold that a set of its size can have sets how far, so
 small sets stop at longer prefixes. What shares the prefix are its candidates.
 
-Candidates are never listed as pairs. In each trie node a text joins the first
-leader that it is like (estimate 0.7 and more) and is linked to all leaders from
-0.32, which is what likeness 0.8 to a text of the leader's ball leaves by the
-triangle inequality, after three standard errors. A text's home is one of the
-leaders that it joined; what is linked to a leader of a home's texts is compared
-exactly with the home's texts, in blocks of bounded size. Blocks report counts of
-links and trees of bounded degree that connect what is linked, never all pairs.
-Components of these trees are the classes. Nodes of many texts are salted into
-parts before they are shuffled; a second pass links their texts to leaders of
-other parts.
+Candidates are never listed as pairs. In each trie node texts of an estimated
+likeness of 0.71 and more (0.8 less three and a half standard errors) are connected
+and each is tied to the least text it is connected with. What these ties connect is
+compared exactly, in blocks of bounded size, which report counts of links and trees
+of bounded degree that connect what is linked, never all pairs. Components of
+these trees are the classes. Nodes of many texts are salted into parts before they
+are shuffled, all of which hold the node's least text; texts that are not connected
+with it go to all parts in a second pass.
 
 Cases: texts without words have no shingles, are alone and have no links; exact
 copies (equal words) are one text; rows that repeat id and text count as copies;
@@ -28,7 +26,6 @@ set of shingles in one task.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -42,10 +39,12 @@ from pyspark.sql.types import ArrayType, LongType
 from .common import array_slices, coded_words, materialise, sent, small_batches, text_key, tidied
 
 #: Shingles and texts of a block of exact comparison.
-BLOCK_SHINGLES, BLOCK_TEXTS = 2_000_000, 1024
+BLOCK_SHINGLES, BLOCK_TEXTS = 1_000_000, 768
+#: Bytes of texts whose words are held at once.
+SLICE = 2_000_000
 #: Members of a forest node beyond which it is salted.
 NODE = 4096
-JOIN, LINK = 0.7, 0.32
+ALIKE = 0.71
 
 
 def depth_for(likeness: float, trees: int, most: int, target: float) -> int:
@@ -56,7 +55,6 @@ def depth_for(likeness: float, trees: int, most: int, target: float) -> int:
     return d
 
 
-@functools.lru_cache(maxsize=4096)
 def least_likeness(n: int, num: int, den: int) -> float:
     """The least likeness, num / den or more, of a set of n elements and any other set; 1 where only equal sets reach it."""
     if n * (den - num) >= den * num:
@@ -118,7 +116,7 @@ def sketch(docs: DataFrame, n: int, forest: Forest, wanted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tidied(batches):
             digests, counts, depths, nodes, below, sigs = [], [], [], [], [], []
-            for texts in array_slices(b.column("text")):
+            for texts in array_slices(b.column("text"), SLICE):
                 for h in word_hashes(texts):
                     x = shingles(h, n)
                     digests.append(hashlib.md5(h).digest())
@@ -179,7 +177,7 @@ def likeness(sigs: np.ndarray, leader: np.ndarray) -> np.ndarray:
     return ((sigs == leader).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
 
 
-EDGE = "a long, b long, joined boolean, node long"
+EDGE = "a long, b long, node long"
 
 
 class Edges:
@@ -189,15 +187,15 @@ class Edges:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def add(self, leader: int, texts: np.ndarray, joined: np.ndarray, node: int | None = None) -> None:
-        self.parts.append((np.full(len(texts), leader), texts, joined, np.full(len(texts), node if node is not None else 0), np.full(len(texts), node is None)))
-        self.held += len(texts)
+    def add(self, a: np.ndarray, b: np.ndarray, node: int | None = None) -> None:
+        self.parts.append((a, b, np.full(len(b), node or 0), np.full(len(b), node is None)))
+        self.held += len(b)
 
     def sent(self, least: int = 0) -> Iterator[pa.RecordBatch]:
         if self.held > least:
-            a, b, joined, node, none = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            a, b, node, none = (np.concatenate(x) for x in zip(*self.parts, strict=True))
             self.parts, self.held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(joined), pa.array(node, mask=none)], names=["a", "b", "joined", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(node, mask=none)], names=["a", "b", "node"])
 
 
 def matrix(column: pa.ChunkedArray, dtype: str, rows: int) -> np.ndarray:
@@ -205,40 +203,47 @@ def matrix(column: pa.ChunkedArray, dtype: str, rows: int) -> np.ndarray:
     return np.frombuffer(raw, dtype).reshape(rows, -1) if raw else np.empty((rows, 0), dtype)
 
 
-def lead(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[pa.RecordBatch]:
-    """Of each trie node (or part of a salted one): leaders with the texts linked to them; leaders of salted nodes name the node."""
+def connected(sigs: np.ndarray) -> np.ndarray:
+    """Of texts, the first one that chains of likeness connect each with: a text is compared with those not yet reached."""
+    root, left = np.arange(len(sigs)), np.arange(len(sigs))
+    while len(left):
+        queue, first, left = [int(left[0])], left[0], left[1:]
+        while queue and len(left):
+            near = likeness(sigs[left], sigs[queue.pop()]) >= ALIKE
+            root[left[near]] = first
+            queue += left[near].tolist()
+            left = left[~near]
+    return root
+
+
+def tie(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[pa.RecordBatch]:
+    """Of each trie node (or part of a salted one): texts with the least they are connected with; and, with the node, those of a salted one not connected with its least."""
     out = Edges()
     for (node, _, parts), rows in grouped(batches, ["node", "part", "parts"]):
         t = pa.Table.from_batches(rows)
+        if parts > 1:  # the least text, which all parts of the node hold, comes first
+            t = t.take(pa.array(np.unique(t["uid"].to_numpy(), return_index=True)[1]))
         ids, sigs = t["uid"].to_numpy(), matrix(t["sig"], "u1", t.num_rows)
-        runs = [(0, len(ids))] if parts > 1 else climbed(matrix(t["below"], ">u4", t.num_rows), t["depth"].to_numpy(), base)
-        for s, e in runs:
-            x, name, free = sigs[s:e], ids[s:e], np.ones(e - s, bool)
-            while free.any():
-                i = int(free.argmax())
-                like = likeness(x, x[i])
-                like[i] = 1.0
-                near = like >= LINK
-                joined = free & (like >= JOIN)
-                free &= ~joined
-                if parts > 1 or np.count_nonzero(near) > 1:
-                    out.add(int(name[i]), name[near], joined[near])
-                if parts > 1:
-                    out.add(int(name[i]), name[i : i + 1], np.zeros(1, bool), node)
+        for s, e in [(0, len(ids))] if parts > 1 else climbed(matrix(t["below"], ">u4", t.num_rows), t["depth"].to_numpy(), base):
+            name, root = ids[s:e], connected(sigs[s:e])
+            tied = root != np.arange(e - s)
+            out.add(name[root[tied]], name[tied])
+            if parts > 1:
+                out.add(name[root > 0], name[root > 0], node)
         yield from out.sent(50_000)
     yield from out.sent()
 
 
 def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each part of a salted node: all its leaders (they come first) with the part's texts linked to them."""
+    """Of each part of a salted node: its texts tied to those sent to all parts (they come first) that they are like."""
     out = Edges()
     for _, rows in grouped(batches, ["node", "part"]):
         t = pa.Table.from_batches(rows)
-        ids, sigs, leads = t["uid"].to_numpy(), matrix(t["sig"], "u1", t.num_rows), t["leads"].to_numpy().astype(bool)
-        texts, x = ids[~leads], sigs[~leads]
-        for k in np.flatnonzero(leads):
-            near = likeness(x, sigs[k]) >= LINK
-            out.add(int(ids[k]), texts[near], np.zeros(np.count_nonzero(near), bool))
+        ids, sigs, all_ = t["uid"].to_numpy(), matrix(t["sig"], "u1", t.num_rows), t["to_all"].to_numpy().astype(bool)
+        texts, x = ids[~all_], sigs[~all_]
+        for k in np.flatnonzero(all_):
+            near = likeness(x, sigs[k]) >= ALIKE
+            out.add(np.full(np.count_nonzero(near), ids[k]), texts[near])
             yield from out.sent(50_000)
     yield from out.sent()
 
@@ -263,93 +268,89 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """For each block pair of a ball: (a, b) of trees that connect what is linked, and (a, null, number of documents linked) of home texts."""
-
-    def shared(x: list[np.ndarray], some: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """Common shingles of some of x and others of x."""
-        _, column, seen = np.unique(np.concatenate(x), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(x)), [len(v) for v in x])
-        often = seen > 1
-        number = np.cumsum(often) - 1
-        row, column = row[often[column]], number[column[often[column]]]
+    """For each block pair: (a, b) of trees that connect what is linked, and (a, null, number of documents linked)."""
+
+    def linked_texts(x: list[np.ndarray], strip: int = 256) -> np.ndarray:
+        """Which texts are linked, by their common shingles; products of strips, so that little is held at once."""
+        flat = np.concatenate(x)
+        flat.sort()
+        often = flat[1:][flat[1:] == flat[:-1]]
+        often = often[np.append(True, often[1:] != often[:-1])] if len(often) else often
+        row = np.repeat(np.arange(len(x), dtype=np.int32), [len(v) for v in x])
+        flat = np.concatenate(x)
+        column = np.searchsorted(often, flat).astype(np.int32)
+        held = column < len(often)
+        held[held] = often[column[held]] == flat[held]
+        row, column = row[held], column[held]
         by = np.argsort(column, kind="stable")
         row, column = row[by], column[by]
-        common = np.zeros((len(some), len(others)), np.int64)
-        step = max(64, 6_000_000 // len(x))  # below the numbers that float32 counts exactly
-        for k in range(0, int(often.sum()), step):
+        common = np.zeros((len(x), len(x)), np.int32)
+        step = max(64, 3_000_000 // len(x))  # below the numbers that float32 counts exactly
+        for k in range(0, len(often), step):
             lo, hi = np.searchsorted(column, [k, k + step])
             m = np.zeros((len(x), step), np.float32)
             m[row[lo:hi], column[lo:hi] - k] = 1
-            common += (m[some] @ m[others].T).astype(np.int64)
-        return common
+            for s in range(0, len(x), strip):
+                common[s : s + strip] += (m[s : s + strip] @ m.T).astype(np.int32)
+        size = np.array([len(v) for v in x])
+        out = np.zeros(common.shape, bool)
+        for s in range(0, len(x), strip):
+            out[s : s + strip] = common[s : s + strip].astype(np.int64) * (num + den) >= num * (size[s : s + strip, None] + size[None, :])
+        np.fill_diagonal(out, False)
+        return out
 
-    for (_, i, j), parts in grouped(batches, ["ball", "i", "j"]):
+    for (_, i, j), parts in grouped(batches, ["comp", "i", "j"]):
         t = pa.Table.from_batches(parts)
         t = t.take(pa.array(np.unique(t["uid"].to_numpy(), return_index=True)[1]))
-        x, ids, copies, home, asks = [np.frombuffer(v, np.uint64) for v in t["x"].to_pylist()], *(t[c].to_numpy() for c in ("uid", "copies", "home", "asks"))
-        some = np.flatnonzero(home.astype(bool) if i == j else asks.astype(bool))
-        others = np.flatnonzero(~asks.astype(bool))
-        if not len(some) or not len(others):
-            continue
-        size = np.array([len(v) for v in x])
-        linked = shared(x, some, others) * (num + den) >= num * (size[some, None] + size[None, others])
-        linked &= ids[some, None] != ids[None, others]
-        if not linked.any():
+        if t.num_rows < 2:
             continue
-        links = linked.astype(np.float64) @ copies[others]
-        near = np.zeros((len(x), len(x)), bool)
-        near[np.ix_(some, others)] = linked
-        near |= near.T
+        x, ids, block = [np.frombuffer(v, np.uint64) for v in t["x"].to_pylist()], t["uid"].to_numpy(), t["block"].to_numpy()
+        linked = linked_texts(x)
+        if i != j:
+            linked &= block[:, None] != block[None, :]
+        links = np.array([int(t["copies"].to_numpy()[n].sum()) for n in linked])
         seen, a, b = np.zeros(len(x), bool), [], []
-        for s in np.flatnonzero(near.any(axis=1)):
+        for s in np.flatnonzero(links):
             if seen[s]:
                 continue
             seen[s], queue, met = True, [s], []
             while queue:
                 u = queue.pop()
                 met.append(u)
-                new = np.flatnonzero(near[u] & ~seen)
+                new = np.flatnonzero(linked[u] & ~seen)
                 seen[new] = True
                 queue += new.tolist()
             names = ids[met]
             a += names[1:].tolist()
             b += names[(np.arange(1, len(met)) - 1) // 2].tolist()
         told = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array(a + ids[some[told]].tolist(), pa.int64()), pa.array(b + [None] * len(told), pa.int64()), pa.array([0] * len(a) + links[told].astype(np.int64).tolist(), pa.int64())], names=["a", "b", "links"])
+        yield pa.RecordBatch.from_arrays([pa.array(a + ids[told].tolist(), pa.int64()), pa.array(b + [None] * len(told), pa.int64()), pa.array([0] * len(a) + links[told].astype(np.int64).tolist(), pa.int64())], names=["a", "b", "links"])
 
 
 def met_in_forest(texts: DataFrame, forest: Forest, parts: int) -> DataFrame:
-    """Rows of EDGE: leaders and what is linked to them in any trie node."""
+    """Edges (a, b) that connect what is alike in any trie node."""
     member = texts.select("uid", F.posexplode("nodes").alias("tree", "node"))
-    full = member.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("uid")).alias("x")).where("size > 1")
-    full = full.groupBy("size", "x").agg(F.min("node").alias("node"))  # of nodes that hold the same texts, one
+    full = member.groupBy("node").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.min("uid").alias("low")).where("size > 1")
+    full = full.groupBy("size", "x", "low").agg(F.min("node").alias("node"))  # of nodes that hold the same texts, one
     ways = F.when(F.col("size") > NODE, F.ceil(F.col("size") / F.lit(NODE / 2))).otherwise(1).cast("long")
-    full = materialise(full.select("node", ways.alias("parts")), "near-nodes")
+    full = materialise(full.select("node", ways.alias("parts"), "low"), "near-nodes")
+    salted = materialise(full.where("parts > 1"), "near-salted")
     width = 4 * (forest.depth - forest.base)
     below = F.substring("below", F.col("tree") * width + 1, F.lit(width)).alias("below")
-    met = member.join(sent(full), "node").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
+    met = member.join(sent(full.drop("low")), "node").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    lows = salted.select("node", "parts", F.col("low").alias("uid"), each).select("uid", F.lit(0).alias("tree"), "node", "parts", "part")
+    met = met.select("uid", "tree", "node", "parts", "part").union(lows)
     met = met.join(texts.select("uid", "depth", "sig", "below"), "uid").select("node", "part", "parts", "uid", "depth", below, "sig")
     rows = met.repartition(parts, "node", "part").sortWithinPartitions("node", "part", "below", "uid")
-    led = materialise(rows.mapInArrow(lambda batches: lead(tidied(batches), forest.base), EDGE), "near-led")
-    edges = led.where("node is null")
-    if full.where("parts > 1").isEmpty():
+    tied = materialise(rows.mapInArrow(lambda batches: tie(tidied(batches), forest.base), EDGE), "near-tied")
+    edges = tied.where("node is null").select("a", "b")
+    if salted.isEmpty():
         return edges
-    leaders = led.where("node is not null").select("node", F.col("a").alias("uid")).join(sent(full), "node").join(texts.select("uid", "sig"), "uid")
-    leaders = leaders.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "uid", "sig", F.lit(1).alias("leads"))
-    rows = leaders.union(met.where("parts > 1").select("node", "part", "uid", "sig", F.lit(0))).repartition(parts, "node", "part").sortWithinPartitions("node", "part")
-    return edges.union(materialise(rows.mapInArrow(lambda batches: link(tidied(batches)), EDGE), "near-linked"))
-
-
-def balls(edges: DataFrame) -> DataFrame:
-    """ball, uid and home: what each home's texts (home: true) are to be compared with, as a table."""
-    joined = edges.where("joined").select("a", "b").distinct()
-    first = materialise(joined.groupBy("b").agg(F.min("a").alias("home")), "near-first")
-    nearer = first.select(F.col("b").alias("home"), F.col("home").alias("next"))
-    home = materialise(first.join(sent(nearer), "home", "left").select("b", F.coalesce("next", "home").alias("home")), "near-home")  # fewer homes of a family
-    of = materialise(joined.join(sent(home), "b").select("a", F.col("home").alias("ball")).distinct(), "near-of")
-    near = edges.select("a", "b").distinct().join(sent(of), "a").select("ball", "b").distinct()
-    near = near.join(sent(home), "b").select("ball", F.col("b").alias("uid"), (F.col("home") == F.col("ball")).alias("home"))
-    return materialise(near, "near-balls")
+    alone = tied.where("node is not null").select("node", F.col("a").alias("uid")).distinct().join(sent(salted.drop("low")), "node").join(texts.select("uid", "sig"), "uid")
+    alone = alone.select("node", each, "uid", "sig", F.lit(1).alias("to_all"))
+    rows = alone.union(met.where("parts > 1").select("node", "part", "uid", "sig", F.lit(0))).repartition(parts, "node", "part").sortWithinPartitions("node", "part")
+    return edges.union(materialise(rows.mapInArrow(lambda batches: link(tidied(batches)), EDGE), "near-linked").select("a", "b"))
 
 
 def classes(docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4, 5), trees: int = 32, depth: int = 8, target: float = 0.999) -> DataFrame:
@@ -359,40 +360,40 @@ def classes(docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4
     similarity is a fraction, so the comparison with it is exact.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1000)
     num, den = similarity
     forest = Forest(trees, depth, depth_for(num / den, trees, depth, target))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = sketch(docs, words, forest, lambda n: depth_for(least_likeness(n, num, den), trees, depth, target))
+    depths = [depth_for(least_likeness(n, num, den), trees, depth, target) for n in range(den * num + 1)]  # larger sets search as deep as the last
+    rows = sketch(docs, words, forest, lambda n: depths[min(n, len(depths) - 1)])
     of_text = [F.first(c).alias(c) for c in ("n", "depth", "nodes", "below", "sig")]
     texts = rows.where("n > 0").groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.min("tk").alias("tk"), *of_text)
     texts = materialise(texts.withColumn("uid", F.monotonically_increasing_id()), "near-texts")
-    near = balls(met_in_forest(texts, forest, parts))
+    met = components(met_in_forest(texts, forest, parts))
 
-    # exact comparison of homes with their balls, in blocks
-    known = near.join(texts.select("uid", "tk", "n", "copies"), "uid")
-    sized = known.groupBy("ball").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(BLOCK_TEXTS))).alias("blocks")).where("size > 1").drop("size")
-    known = known.join(sent(materialise(sized, "near-sized")), "ball").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks"))).drop("n")
+    # exact comparison within what is connected, in blocks
+    known = met.select(F.col("id").alias("uid"), F.col("root").alias("comp")).join(texts.select("uid", "tk", "n", "copies"), "uid")
     known = materialise(known, "near-known")
+    sized = known.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(BLOCK_TEXTS))).alias("blocks"))
+    known = known.join(sent(materialise(sized, "near-sized")), "comp").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks"))).drop("n")
+    known = materialise(known, "near-blocks")
+
+    kept = ["uid", "comp", "copies", "blocks", "block"]
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()  # rows that repeat id and text are one text: send it once a task
+        done: set[int] = set()  # rows that repeat id and text are one text: it is sent once a task
         for b in tidied(batches):
             at = 0
-            for texts in array_slices(b.column("text")):
-                uid, at = b.column("uid").slice(at, len(texts)).to_pylist(), at + len(texts)
-                new = [k for k, u in enumerate(uid) if u not in done and not done.add(u)]
-                x = [shingles(h, words).tobytes() for h in word_hashes(texts.take(pa.array(new, pa.int64())))]
-                yield pa.RecordBatch.from_arrays([pa.array([uid[k] for k in new], pa.int64()), pa.array(x, pa.binary())], names=["uid", "x"])
-
-    wanted = materialise(known.select("tk", "uid").distinct(), "near-wanted")
-    sets = docs.select(text_key().alias("tk"), "text").join(sent(wanted), "tk").select("uid", "text").mapInArrow(shingled, "uid long, x binary")
+            for texts in array_slices(b.column("text"), SLICE):
+                part, at = b.slice(at, len(texts)), at + len(texts)
+                part = part.take(pa.array([k for k, u in enumerate(part.column("uid").to_pylist()) if u not in done and not done.add(u)], pa.int64()))
+                x = [shingles(h, words).tobytes() for h in word_hashes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(x, pa.binary())], names=[*kept, "x"])
+
+    sets = docs.select(text_key().alias("tk"), "text").join(sent(known), "tk").select(*kept, "text").mapInArrow(shingled, "uid long, comp long, copies long, blocks long, block long, x binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = known.select("ball", "uid", "copies", "home", "block", other)
-    asked = dealt.select("ball", F.col("other").alias("i"), F.col("block").alias("j"), "uid", "copies", "home", F.lit(False).alias("asks"))
-    asking = dealt.where("home and other <> block").select("ball", F.col("block").alias("i"), F.col("other").alias("j"), "uid", "copies", "home", F.lit(True))
-    places = materialise(asked.union(asking), "near-places")
-    chosen = sets.join(sent(places), "uid").repartition(parts, "ball", "i", "j").sortWithinPartitions("ball", "i", "j", "uid")
+    dealt = sets.select("comp", "uid", "block", "copies", "x", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    chosen = dealt.drop("other").repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "uid")
     found = materialise(chosen.mapInArrow(lambda batches: verify(tidied(batches), num, den), "a long, b long, links long"), "near-links")
 
     root = components(found.where("b is not null").select("a", "b"))

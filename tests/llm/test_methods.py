@@ -229,8 +229,8 @@ def test_large_common_counts_are_exact():
     x = [np.arange(0, 400_000, dtype=np.uint64), np.arange(44_444, 444_444, dtype=np.uint64), np.arange(44_445, 444_445, dtype=np.uint64)]
     import pyarrow as pa
 
-    names = ["ball", "i", "j", "uid", "copies", "home", "asks", "x"]
-    columns = [pa.array([1] * 3), pa.array([0] * 3), pa.array([0] * 3), pa.array([7, 8, 9]), pa.array([1, 1, 1]), pa.array([True] * 3), pa.array([False] * 3), pa.array([v.tobytes() for v in x], pa.binary())]
+    names = ["comp", "i", "j", "uid", "copies", "block", "x"]
+    columns = [pa.array([1] * 3), pa.array([0] * 3), pa.array([0] * 3), pa.array([7, 8, 9]), pa.array([1, 1, 1]), pa.array([0] * 3), pa.array([v.tobytes() for v in x], pa.binary())]
     out = next(iter(neardup.verify(iter([pa.RecordBatch.from_arrays(columns, names=names)]), 4, 5)))
     links = {a: n for a, b, n in zip(*(out.column(k).to_pylist() for k in range(3)), strict=True) if b is None}
     pairs = [(a, b) for a in range(3) for b in range(3) if a < b and 5 * len(np.intersect1d(x[a], x[b])) >= 4 * len(np.union1d(x[a], x[b]))]
