@@ -90,7 +90,15 @@ def fi_headings(spark, d):
     return p.select("doc_id", "para_idx", *(f(F.col("p")).alias(n) for n, f in (("caps", L.caps_heading), ("title", L.title_heading), ("skipped", L.is_skipped))))
 
 
-@query()
+@query(rf"""WITH RECURSIVE s AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE length(text) > 1000)),
+ r AS (SELECT *, length(s) > 1000 AS long, sum(CASE WHEN length(s) > 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+ g AS (SELECT doc_id, run, min(i) AS pos, list(s ORDER BY i) AS ss, list(length(s) + 1 ORDER BY i) AS ls FROM r WHERE NOT long GROUP BY ALL),
+ p AS (SELECT *, len(ss) AS n, list_transform(range(0, len(ls) + 1), lambda k: coalesce(list_sum(ls[1:k]), 0)) AS upto FROM g),
+ c AS (SELECT doc_id, run, 0::BIGINT AS lo, greatest(1, len(list_filter(upto, lambda u: u <= 1001)) - 1)::BIGINT AS hi FROM p UNION ALL
+  SELECT doc_id, run, f, greatest(hi + 1, len(list_filter(upto, lambda u: u <= upto[f + 1] + 1001)) - 1)::BIGINT FROM (SELECT c.doc_id, c.run, c.hi, upto, greatest(c.lo, len(list_filter(upto, lambda u: u < upto[c.hi + 1] - 151)))::BIGINT AS f FROM c JOIN p USING (doc_id, run) WHERE c.hi < n)),
+ o AS (SELECT doc_id, 0 AS pos, 0 AS k, text AS chunk FROM documents WHERE length(text) <= 1000 UNION ALL SELECT doc_id, pos, hi, array_to_string(ss[lo + 1:hi], ' ') FROM c JOIN p USING (doc_id, run)
+  UNION ALL SELECT doc_id, i, k, w FROM (SELECT doc_id, i, k, substring(s, (k + 1)::INT, 1000) AS w FROM (SELECT doc_id, i, s, unnest(range(0, length(s), 850)) AS k FROM r WHERE long)) WHERE regexp_matches(w, '\S'))
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1 AS chunk_index, length(chunk) AS n_chars, md5(chunk) AS digest FROM o""")
 def co_chunks(spark, d):
     """Overlapping chunks of all documents."""
     c = chunk.overlapping(read(spark, d, "documents"), "doc_id")
@@ -137,7 +145,26 @@ def co_thread_summary(spark, d):
     return threads.summary(threads.pairs(thread_rows(spark, d)))
 
 
-@query()
+def _gone(t: str, *patterns: str) -> str:
+    """SQL: t without what the patterns match, one after the other."""
+    for p in patterns:
+        t = f"regexp_replace({t}, {_quoted(p)}, '', 'g')"
+    return t
+
+
+BAG = lambda t: rf"list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')), '\s+'), lambda w: w <> ''))"
+ALIKE = lambda x, y: f"CASE WHEN len({BAG(x)}) = 0 OR len({BAG(y)}) = 0 THEN 0 ELSE len(list_intersect({BAG(x)}, {BAG(y)})) / len(list_distinct(list_concat({BAG(x)}, {BAG(y)}))) END"
+CLEANED_SQL = rf"""SELECT *, CASE WHEN length(c4) <= {A.LONGEST} THEN c4 WHEN length(kept) >= {A.SHORTEST} THEN kept ELSE c4[1:{A.LONGEST - 3}] || '...' END AS t FROM (SELECT *, array_to_string(ss[1:coalesce(list_max(list_filter(range(1, len(ss) + 1), lambda i: length(array_to_string(ss[1:i], ' ')) <= {A.LONGEST})), 0)], ' ') AS kept
+ FROM (SELECT *, regexp_split_to_array(regexp_replace(c4, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM (SELECT *, upper(f[1]) || f[2:] AS c4 FROM (SELECT *, trim(regexp_replace({_gone("c3", *("(?i)" + p for p in A.PREFIXES + A.SUFFIXES))}, '\s+', ' ', 'g')) AS f
+ FROM (SELECT *, CASE WHEN q = '' THEN c2 ELSE trim({_gone("CASE WHEN starts THEN trim(CASE WHEN led > 0.5 THEN plain[length(first) + 1:] ELSE plain END) ELSE plain END", A.INLINE)}) END AS c3 FROM (SELECT *, {ALIKE("first", "q")} AS led FROM (SELECT *, {ALIKE("q", "c2[1:length(q) + 100]")} > 0.6 AS starts,
+ coalesce(nullif(regexp_extract(plain, '(?s)^.*?[.!?]\s+', 0), ''), plain) AS first FROM (SELECT *, {_gone("c2", A.NAMED_QUOTE)} AS plain FROM (SELECT *, trim(regexp_replace({_gone("c1", *A.MENTIONS)}, '\s{{2,}}', ' ', 'g')) AS c2
+ FROM (SELECT *, CASE WHEN len(regexp_extract_all(post, '@\w+')) >= 2 AND length(trim(regexp_extract(post, '(?s).*@\w+(.*)$', 1))) >= 50 THEN trim(regexp_extract(post, '(?s).*@\w+(.*)$', 1)) ELSE post END AS c1 FROM (SELECT conv_id, turn, trim(a) AS post, q FROM ({TURNS_SQL}))))))))))))"""
+POINT = lambda p, k: f"CASE WHEN regexp_matches(t, {_quoted(p)}) THEN {k} ELSE 0 END"
+
+
+@query(rf"""SELECT conv_id, turn, (CASE WHEN length(post) < {A.TOO_SHORT} OR regexp_matches(post, {_quoted(A.ACKNOWLEDGED)}) THEN 0 WHEN length(t) < {A.TOO_SHORT} THEN base ELSE greatest(0, base + CASE WHEN length(t) > 600 THEN -2 WHEN length(t) > 400 THEN 1 WHEN length(t) > 200 THEN 3 WHEN length(t) >= 50 THEN 4 ELSE 0 END
+ + {POINT(A.USEFUL, 3)} + CASE WHEN regexp_matches(t, '\b[0-9]+\b') THEN 1 ELSE 0 END + {POINT(A.DEFINITIVE, 2)} + {POINT(A.SPECULATIVE, -3)} + {POINT("(?i)^(I think|Maybe|Perhaps)", -1)} + CASE WHEN marks > 2 THEN -5 WHEN marks = 2 THEN -3 WHEN marks = 1 THEN -2 ELSE 0 END) END)::INT AS score,
+ CASE WHEN length(post) < {A.TOO_SHORT} OR regexp_matches(post, {_quoted(A.ACKNOWLEDGED)}) THEN post ELSE t END AS cleaned FROM (SELECT *, CASE WHEN q <> '' THEN 2 ELSE 0 END AS base, len(regexp_extract_all(t, '\?')) AS marks FROM ({CLEANED_SQL}))""")
 def sf_answers(spark, d):
     """Usefulness and cleaned text of each post."""
     u = A.usefulness(F.col("a"), F.col("q"), F.lit(False))
