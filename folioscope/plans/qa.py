@@ -127,24 +127,12 @@ def thread_rows(spark, d):
     """Conversations as threads: the first post's first sentence is the title, authors are roles."""
     c = read(spark, d, "conversations")
     null = F.lit(None).cast("string")
-    post = F.struct(F.col("turn").cast("string").alias("post_id"), F.col("role").alias("author"), null.alias("date"), F.col("text").alias("content"), F.col("turn").cast("int").alias("position"), F.lit("en").alias("language"))
+    post = F.struct(F.col("turn").cast("string").alias("post_id"), F.col("role").alias("author"), null.alias("date"), T.ascii_only(F.col("text")).alias("content"), F.col("turn").cast("int").alias("position"), F.lit("en").alias("language"))
     g = c.groupBy(F.col("conv_id").alias("thread_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", post.alias("p")))).alias("ps"))  # a thread is a row
     g = g.select("thread_id", F.transform("ps", lambda x: x["p"]).alias("posts"))
     return g.select("thread_id", F.concat(F.lit("https://forum.example.com/thread/"), F.col("thread_id").cast("string")).alias("url"), F.get(T.sentences(F.get("posts", F.lit(0))["content"]), F.lit(0)).alias("title"), F.lit("en").alias("language"), "posts")
 
 
-@query()
-def co_thread_pairs(spark, d):
-    """Question and answer pairs of all threads, with their checks."""
-    p = threads.checked(threads.pairs(thread_rows(spark, d)), "example.com")
-    return p.select("id", "question", "answer", F.size("raw_answers").cast("long").alias("kept"), F.col("raw_answers")[0]["score"].alias("score"), F.array_join("errors", ",").alias("errors"), F.array_join("issues", ",").alias("issues"), "duplicate_of")
-
-
-@query()
-def co_thread_summary(spark, d):
-    return threads.summary(threads.pairs(thread_rows(spark, d)))
-
-
 def _gone(t: str, *patterns: str) -> str:
     """SQL: t without what the patterns match, one after the other."""
     for p in patterns:
@@ -158,13 +146,75 @@ CLEANED_SQL = rf"""SELECT *, CASE WHEN length(c4) <= {A.LONGEST} THEN c4 WHEN le
  FROM (SELECT *, regexp_split_to_array(regexp_replace(c4, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM (SELECT *, upper(f[1]) || f[2:] AS c4 FROM (SELECT *, trim(regexp_replace({_gone("c3", *("(?i)" + p for p in A.PREFIXES + A.SUFFIXES))}, '\s+', ' ', 'g')) AS f
  FROM (SELECT *, CASE WHEN q = '' THEN c2 ELSE trim({_gone("CASE WHEN starts THEN trim(CASE WHEN led > 0.5 THEN plain[length(first) + 1:] ELSE plain END) ELSE plain END", A.INLINE)}) END AS c3 FROM (SELECT *, {ALIKE("first", "q")} AS led FROM (SELECT *, {ALIKE("q", "c2[1:length(q) + 100]")} > 0.6 AS starts,
  coalesce(nullif(regexp_extract(plain, '(?s)^.*?[.!?]\s+', 0), ''), plain) AS first FROM (SELECT *, {_gone("c2", A.NAMED_QUOTE)} AS plain FROM (SELECT *, trim(regexp_replace({_gone("c1", *A.MENTIONS)}, '\s{{2,}}', ' ', 'g')) AS c2
- FROM (SELECT *, CASE WHEN len(regexp_extract_all(post, '@\w+')) >= 2 AND length(trim(regexp_extract(post, '(?s).*@\w+(.*)$', 1))) >= 50 THEN trim(regexp_extract(post, '(?s).*@\w+(.*)$', 1)) ELSE post END AS c1 FROM (SELECT conv_id, turn, trim(a) AS post, q FROM ({TURNS_SQL}))))))))))))"""
+ FROM (SELECT *, CASE WHEN len(regexp_extract_all(post, '@\w+')) >= 2 AND length(trim(regexp_extract(post, '(?s).*@\w+(.*)$', 1))) >= 50 THEN trim(regexp_extract(post, '(?s).*@\w+(.*)$', 1)) ELSE post END AS c1 FROM (SELECT *, trim(a) AS post FROM ({{source}}))))))))))))"""
 POINT = lambda p, k: f"CASE WHEN regexp_matches(t, {_quoted(p)}) THEN {k} ELSE 0 END"
 
 
-@query(rf"""SELECT conv_id, turn, (CASE WHEN length(post) < {A.TOO_SHORT} OR regexp_matches(post, {_quoted(A.ACKNOWLEDGED)}) THEN 0 WHEN length(t) < {A.TOO_SHORT} THEN base ELSE greatest(0, base + CASE WHEN length(t) > 600 THEN -2 WHEN length(t) > 400 THEN 1 WHEN length(t) > 200 THEN 3 WHEN length(t) >= 50 THEN 4 ELSE 0 END
- + {POINT(A.USEFUL, 3)} + CASE WHEN regexp_matches(t, '\b[0-9]+\b') THEN 1 ELSE 0 END + {POINT(A.DEFINITIVE, 2)} + {POINT(A.SPECULATIVE, -3)} + {POINT("(?i)^(I think|Maybe|Perhaps)", -1)} + CASE WHEN marks > 2 THEN -5 WHEN marks = 2 THEN -3 WHEN marks = 1 THEN -2 ELSE 0 END) END)::INT AS score,
- CASE WHEN length(post) < {A.TOO_SHORT} OR regexp_matches(post, {_quoted(A.ACKNOWLEDGED)}) THEN post ELSE t END AS cleaned FROM (SELECT *, CASE WHEN q <> '' THEN 2 ELSE 0 END AS base, len(regexp_extract_all(t, '\?')) AS marks FROM ({CLEANED_SQL}))""")
+def points_sql(asker: str = "FALSE") -> str:
+    """SQL: how useful a cleaned text t of a post is."""
+    length = "CASE WHEN length(t) > 600 THEN -2 WHEN length(t) > 400 THEN 1 WHEN length(t) > 200 THEN 3 WHEN length(t) >= 50 THEN 4 ELSE 0 END"
+    doubt = "CASE len(regexp_extract_all(t, '\\?')) WHEN 0 THEN 0 WHEN 1 THEN -2 WHEN 2 THEN -3 ELSE -5 END"
+    marks = " + ".join((POINT(A.USEFUL, 3), POINT(r"\b[0-9]+\b", 1), POINT(A.DEFINITIVE, 2), POINT(A.SPECULATIVE, -3), POINT("(?i)^(I think|Maybe|Perhaps)", -1)))
+    base = "CASE WHEN q <> '' THEN 2 ELSE 0 END"
+    return f"""CASE WHEN length(post) < {A.TOO_SHORT} OR regexp_matches(post, {_quoted(A.ACKNOWLEDGED)}) THEN 0 WHEN length(t) < {A.TOO_SHORT} THEN {base} ELSE greatest(0, {base} + {length} + {marks} + {doubt} + CASE WHEN {asker} THEN -2 ELSE 0 END) END"""
+
+
+TEXT_SQL = f"CASE WHEN length(post) < {A.TOO_SHORT} OR regexp_matches(post, {_quoted(A.ACKNOWLEDGED)}) THEN post ELSE t END"
+
+
+def _listed(values) -> str:
+    return "(" + ", ".join(map(_quoted, values)) + ")"
+
+
+def _clean_question(x: str) -> str:
+    plain = rf"trim(regexp_replace({_gone(x, *('(?i)' + g for g in Q.GREETINGS))}, '\s+', ' ', 'g'))"
+    return f"(upper(({plain})[1]) || ({plain})[2:])"
+
+
+def _asks(x: str) -> str:
+    return rf"lower(regexp_extract({x}, '^\s*(\S+)', 1)) IN {_listed(Q.ASKING)}"
+
+
+def _marked(x: str) -> str:
+    inner = " OR ".join(f"contains(lower(trim({x})), {_quoted(w)})" for w in Q.INNER)
+    return f"CASE WHEN NOT suffix(trim({x}), '?') AND ({_asks(x)} OR {inner}) THEN trim({x}) || '?' ELSE trim({x}) END"
+
+
+def _core(x: str) -> str:
+    sentence = rf"list_filter(regexp_split_to_array(regexp_replace({x}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: contains(s, '?') AND length(s) < {Q.LONGEST})[1]"
+    clause = f"list_filter(list_transform(string_split({x}, ','), lambda s: trim(s)), lambda s: {_asks('s')} AND length(s) < {Q.LONGEST})[1]"
+    head = f"({x})[1:{Q.LONGEST}]"
+    cut = f"CASE WHEN length(regexp_extract({head}, '(?s)^(.*) ', 1)) > 50 THEN regexp_extract({head}, '(?s)^(.*) ', 1) ELSE {head} END"
+    return f"coalesce({sentence}, {_marked(clause)}, CASE WHEN length({x}) > {Q.LONGEST} THEN {_marked(cut)} ELSE {x} END)"
+
+
+THREAD_SQL = rf"""SELECT conv_id, arg_min(role, turn) AS asker, arg_min(t, turn) AS content FROM (SELECT conv_id, turn, role, {PLAIN} AS t FROM conversations) GROUP BY 1 HAVING count(*) >= 2"""
+ASKED_SQL = rf"""SELECT conv_id, asker, content, CASE WHEN contains(t, '?') AND n < {Q.LONGEST} THEN t WHEN n > {Q.LONGEST} AND length(core_t) > 10 THEN core_t WHEN c <> '' AND contains(t, ':') THEN CASE WHEN length(topic) < 30 AND length(q) < 100 THEN topic || ': ' || q ELSE q END
+ WHEN complete AND n > 10 THEN {_marked("t")} WHEN NOT complete AND c <> '' AND n > 10 AND starts_with(lower(c[1:100]), lower(t[1:20])) THEN {_marked("q")} WHEN NOT complete AND c <> '' AND length(part) > 10 THEN CASE WHEN length(joined) > {Q.LONGEST} THEN core_j ELSE joined END
+ WHEN c <> '' THEN {_marked("q")} WHEN t <> '' THEN {_marked("t")} END AS question
+ FROM (SELECT *, {_core("joined")} AS core_j FROM (SELECT *, {_marked("t || ': ' || part")} AS joined, {_core("t")} AS core_t, length(t) AS n, trim(string_split(t, ':')[1]) AS topic, contains(t, '?') OR length(t) > 80 OR (length(t) > 40 AND c = '') AS complete
+ FROM (SELECT *, coalesce(list_filter(parts, lambda s: (contains(s, '?') OR {_asks("s")}) AND length(s) > 10)[1], parts[1]) AS part, coalesce(list_filter(list_transform(qs, lambda p: {_clean_question("CASE WHEN p = '' OR suffix(p, '?') THEN p ELSE p || '?' END")}), lambda s: (contains(s, '?') OR {_asks("s")}) AND length(s) > 15)[1], c) AS q
+ FROM (SELECT *, list_transform(regexp_split_to_array(c, '[.!?]+'), lambda s: {_clean_question("s")}) AS parts, list_transform(string_split(regexp_replace(c, '\?\s*([A-Z])', chr(1) || '\1', 'g'), chr(1)), lambda p: trim(p)) AS qs, {_clean_question("trim(title)")} AS t
+ FROM (SELECT *, trim(content) AS c, regexp_split_to_array(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1] AS title FROM ({THREAD_SQL}))))))"""
+REPLY_SQL = f"""SELECT c.conv_id, turn, role = asker AS own, t.content, question AS q, {PLAIN.replace("text", "c.text")} AS a FROM conversations c JOIN ({ASKED_SQL}) t ON t.conv_id = c.conv_id WHERE question <> '' AND turn > (SELECT min(turn) FROM conversations f WHERE f.conv_id = c.conv_id)"""
+PAIR_SQL = f"""SELECT conv_id, 'forum_' || conv_id AS id, any_value(q) AS question, any_value(content) AS content, arg_min(txt, (-score, turn)) AS answer, max(score)::INT AS score, count(*) AS useful FROM (SELECT *, {points_sql("own")} AS score, {TEXT_SQL} AS txt FROM ({CLEANED_SQL.replace("{source}", REPLY_SQL)})) WHERE score > 0 GROUP BY 1"""
+
+
+@query(rf"""SELECT p.id, question, answer, least(3, useful) AS kept, score, concat_ws(',', CASE WHEN question = '' THEN 'empty question' END, CASE WHEN answer = '' THEN 'empty answer' END) AS errors,
+ concat_ws(',', CASE WHEN length(question) < 10 THEN 'question too short' END, CASE WHEN length(answer) < 10 THEN 'answer too short' END, CASE WHEN score < 2 THEN 'low score' END, CASE WHEN NOT contains(question, '?') AND content <> '' AND NOT contains(content, '?') THEN 'no question mark' END) AS issues,
+ CASE WHEN first <> p.id THEN first END AS duplicate_of FROM (SELECT *, min(id) OVER (PARTITION BY regexp_replace(trim(regexp_replace(lower(question), '\s+', ' ', 'g')), '[^\p{{L}}\p{{N}}_\s]', '', 'g')) AS first FROM ({PAIR_SQL})) p""")
+def co_thread_pairs(spark, d):
+    """Question and answer pairs of all threads, with their checks."""
+    p = threads.checked(threads.pairs(thread_rows(spark, d)), "example.com")
+    return p.select("id", "question", "answer", F.size("raw_answers").cast("long").alias("kept"), F.col("raw_answers")[0]["score"].alias("score"), F.array_join("errors", ",").alias("errors"), F.array_join("issues", ",").alias("issues"), "duplicate_of")
+
+
+@query(rf"""SELECT count(*) AS pairs, avg(score) AS mean_score, count(*) FILTER (useful > 1) AS several, avg(length(answer)) AS mean_length, sum(len(regexp_extract_all(answer, '@\w+')))::BIGINT AS mentions, count(*) FILTER (length(answer) > 500) AS long FROM ({PAIR_SQL})""")
+def co_thread_summary(spark, d):
+    return threads.summary(threads.pairs(thread_rows(spark, d)))
+
+
+@query(f"SELECT conv_id, turn, ({points_sql()})::INT AS score, {TEXT_SQL} AS cleaned FROM ({CLEANED_SQL.replace('{source}', TURNS_SQL)})")
 def sf_answers(spark, d):
     """Usefulness and cleaned text of each post."""
     u = A.usefulness(F.col("a"), F.col("q"), F.lit(False))
