@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,23 +62,59 @@ def token_set_likeness(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "double")(a, b)
 
 
+class _Candidates:
+    """Texts of a book with what bounds their ratio to another: lengths of their distinct words, these words' places and their characters."""
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        plain = [" ".join(sorted(set(t.split()))) for t in texts]
+        self.alphabet = {c: k for k, c in enumerate(sorted(set().union(*plain)))}
+        self.length = np.array([len(t) for t in plain], np.int64)
+        self.chars = np.stack([self.counted(t) for t in plain])
+        at: dict[str, list[int]] = {}
+        for k, t in enumerate(plain):
+            for w in t.split():
+                at.setdefault(w, []).append(k)
+        self.at = {w: np.array(ks) for w, ks in at.items()}
+
+    def counted(self, text: str) -> np.ndarray:
+        out = np.zeros(len(self.alphabet), np.int32)
+        for c, n in Counter(text).items():
+            if c in self.alphabet:
+                out[self.alphabet[c]] = n
+        return out
+
+    def bounds(self, text: str) -> np.ndarray:
+        """What token_set_ratio of text and each can be at most: by the words they share, their lengths and their common characters."""
+        words = sorted(set(text.split()))
+        plain, shared = " ".join(words), np.zeros(len(self.length), np.int64)
+        for w in words:
+            if w in self.at:
+                shared[self.at[w]] += len(w) + 1
+        shared = np.maximum(shared - 1, 0)
+        short, both = np.minimum(self.length, len(plain)), np.maximum(self.length + len(plain), 1)
+        by_words = np.where(shared > 0, 200.0 * shared / np.maximum(shared + short, 1), 0.0)
+        by_chars = 200.0 * np.minimum(np.minimum(self.chars, self.counted(plain)).sum(axis=1), short) / both
+        return np.maximum(by_words, by_chars) + 1e-9
+
+
 def _claims(pdf: pd.DataFrame, ocr: pd.DataFrame, least: float) -> list[tuple]:
-    """pdf index, ocr index, similarity: in order each pdf chunk claims its best free match; ties go to the first."""
+    """pdf index, ocr index, similarity: in order each pdf chunk claims its best free match; ties go to the first. Only pairs whose bound allows it are compared."""
     if pdf.empty or ocr.empty:
         return []
-    free = list(ocr.sort_values("idx").itertuples(index=False))
+    others = list(ocr.sort_values("idx").itertuples(index=False))
+    candidates, free = _Candidates([o.norm for o in others]), np.ones(len(others), bool)
     out = []
     for p in pdf.sort_values("idx").itertuples(index=False):
-        ratio, k = 0.0, -1
-        for j, o in enumerate(free):
-            r = token_set_ratio(p.norm, o.norm, max(least, ratio))
-            if r > ratio:
-                ratio, k = r, j
+        bound, ratio, k = candidates.bounds(p.norm), 0.0, -1
+        for j in np.flatnonzero(free & (bound >= least)).tolist():
+            if bound[j] > ratio:
+                r = token_set_ratio(p.norm, others[j].norm, max(least, ratio))
+                if r > ratio:
+                    ratio, k = r, j
         if k >= 0:
-            o = free[k]
+            o = others[k]
             out.append((p.idx, o.idx, ratio))
-            if _same(p.topics, o.topics):
-                del free[k]
+            free[k] = not _same(p.topics, o.topics)
     return out
 
 

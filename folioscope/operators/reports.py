@@ -65,7 +65,7 @@ def validation(checked: DataFrame, first: int = 20) -> DataFrame:
     Pairs with an empty field are invalid; pairs whose address is wrong stay valid. Non-English pairs and repeated questions are warnings.
     """
     id_ = F.coalesce(F.col("id").cast("string"), F.lit("unknown"))
-    invalid = F.exists("errors", lambda e: F.startswith(e, F.lit("empty")))
+    invalid = F.exists("errors", lambda e: F.startswith(e, F.lit("empty")) | F.startswith(e, F.lit("missing")))
     language = F.col("metadata.language")
     warned = F.array_compact(F.array(F.when(language != "en", F.concat(F.lit("language "), language)), F.when(F.col("duplicate_of").isNotNull(), F.concat(F.lit("duplicate of "), F.col("duplicate_of").cast("string")))))
     rows = checked.select("*", id_.alias("_id"), invalid.alias("_invalid")).withColumns({"_w": F.when(~F.col("_invalid"), warned), "_i": F.when(~F.col("_invalid"), F.col("issues"))})

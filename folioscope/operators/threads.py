@@ -10,7 +10,16 @@ from ..functions import questions as Q
 from ..functions.text import for_duplicates, let
 
 POST = "struct<post_id:string,author:string,date:string,content:string,position:int,language:string>"
-REQUIRED = ("id", "source", "thread_id", "thread_url", "question", "answer")
+# Fixed values.
+REQUIRED = ("id", "source", "thread_id", "thread_url", "question", "answer", "raw_question", "raw_answers", "metadata")
+REQUIRED_METADATA = ("language", "scraped_date", "processed_date", "answer_count", "useful_answer_count")
+
+
+def in_language(threads: DataFrame, language: str | None = "en") -> DataFrame:
+    """threads of a language with their posts of it (a missing one is none); all where no language is asked for."""
+    if not language:
+        return threads
+    return threads.where(F.col("language") == language).withColumn("posts", F.filter("posts", lambda p: p["language"].eqNullSafe(language)))
 
 
 def _with(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -35,9 +44,11 @@ def ranked(posts: Column, question: Column) -> Column:
 def pairs(threads: DataFrame, language: str = "en", keep: int = 3) -> DataFrame:
     """A row per thread of that language with a question and a reply of use.
 
-    threads holds thread_id, url, title, language and posts (POST). The best answers are kept;
+    threads holds thread_id, url, title, language, posts (POST) and, on demand, scraped_date. The best answers are kept;
     answer_count and useful_answer_count count all.
     """
+    scraped = F.coalesce(F.col("scraped_date").cast("string"), F.lit("")) if "scraped_date" in threads.columns else F.lit("")
+    processed = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
     t = threads.where((F.col("language") == language) & (F.size("posts") >= 2))
     t = _with(t, "question", Q.extract(F.col("title"), F.get("posts", F.lit(0))["content"])).where("question <> ''")
     t = _with(t, "best", ranked(F.col("posts"), F.col("question"))).where(F.size("best") > 0)
@@ -46,7 +57,7 @@ def pairs(threads: DataFrame, language: str = "en", keep: int = 3) -> DataFrame:
         F.concat(F.lit("forum_"), F.col("thread_id").cast("string")).alias("id"), F.lit("forum").alias("source"), "thread_id", F.col("url").alias("thread_url"), "question",
         F.col("best")[0]["cleaned_content"].alias("answer"),
         F.struct(F.col("title"), first["content"].alias("content"), first["author"].alias("author"), first["date"].alias("date")).alias("raw_question"), F.slice("best", 1, keep).alias("raw_answers"),
-        F.struct(F.col("language"), (F.size("posts") - 1).alias("answer_count"), F.size("best").alias("useful_answer_count")).alias("metadata"),
+        F.struct(F.col("language"), scraped.alias("scraped_date"), processed.alias("processed_date"), (F.size("posts") - 1).alias("answer_count"), F.size("best").alias("useful_answer_count")).alias("metadata"),
     )
 
 
@@ -62,10 +73,18 @@ def checked(qa: DataFrame, domain: str, least: int = 10, score: int = 2) -> Data
 
     Questions are compared by digests. Null fields count as missing.
     """
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    kinds, have = dict(qa.dtypes), set(qa.columns)
+    inner = {f.name for f in qa.schema["metadata"].dataType} if "metadata" in have else set()
+
+    def empty(c: str) -> Column:
+        if kinds[c].startswith("array"):
+            return F.coalesce(F.size(c), F.lit(0)) <= 0
+        return F.col(c).isNull() if kinds[c].startswith("struct") else F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+
+    missing = lambda f: F.col("metadata").isNotNull() & F.col(f"metadata.{f}").isNull() if f in inner else F.lit("metadata" in have)
     url = lambda part: F.coalesce(F.try_parse_url("thread_url", F.lit(part)), F.lit(""))
     note = lambda c, text: F.when(c, F.lit(text))
-    errors = [note(empty(c), f"empty {c}") for c in REQUIRED] + [note(~url("PROTOCOL").isin("http", "https"), "scheme"), note(~url("HOST").contains(domain), "domain"), note(~url("PATH").contains("/thread/"), "path")]
+    errors = [note(empty(c), f"empty {c}") if c in have else F.lit(f"missing {c}") for c in REQUIRED] + [note(missing(f), f"missing metadata {f}") for f in REQUIRED_METADATA] + [note(~url("PROTOCOL").isin("http", "https"), "scheme"), note(~url("HOST").contains(domain), "domain"), note(~url("PATH").contains("/thread/"), "path")]
     no_mark = ~F.coalesce(F.col("question").contains("?"), F.lit(False)) & (F.coalesce("raw_question.content", F.lit("")) != "") & ~F.col("raw_question.content").contains("?")
     issues = [
         note(F.length("question") < least, "question too short"), note(F.length("answer") < least, "answer too short"),

@@ -10,7 +10,9 @@ from ..functions import layout as L
 from ..functions import questions as Q
 from ..functions import scores as C
 from ..functions import text as T
+from ..functions.analysis import STOP
 from ..operators import chunk, learning, merge, spelling, threads
+from ..operators.common import spread
 from ..sources import html, sinks
 from .registry import query, read
 
@@ -85,7 +87,7 @@ CAPS_SQL = rf"""(length(p) <= 100 AND NOT regexp_matches(upper(p), '{BARRED}') A
  SELECT doc_id, para_idx, caps, length(p) <= 150 AND len(w) BETWEEN 2 AND 20 AND len(lw) > 0 AND len(list_filter(lw, lambda x: regexp_matches(x, '^\p{{Lu}}'))) >= len(lw) * 0.7 AND NOT caps AND NOT contains(p, ':') AND NOT regexp_matches(p, '(,|and)$') AS title,
  regexp_matches(p, {_quoted("(?i)" + "|".join(L.SKIPPED))}) AS skipped FROM l""")
 def fi_headings(spark, d):
-    p = read(spark, d, "documents").select("doc_id", F.posexplode(F.split(T.ascii_only(F.col("text")), "\n")).alias("para_idx", "p"))
+    p = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split(T.ascii_only(F.col("text")), "\n")).alias("para_idx", "p"))
     p = p.select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), F.trim("p").alias("p"))
     return p.select("doc_id", "para_idx", *(f(F.col("p")).alias(n) for n, f in (("caps", L.caps_heading), ("title", L.title_heading), ("skipped", L.is_skipped))))
 
@@ -263,11 +265,11 @@ def op_spelling(spark, d):
 
 
 @query(rf"""WITH s AS (SELECT unnest(regexp_split_to_array(regexp_replace({PLAIN}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents), w AS (SELECT regexp_extract_all(s, '[A-Za-z0-9_]+') AS ws FROM s),
- x AS (SELECT unnest(ws[2:]) AS w FROM w WHERE len(ws) > 1) SELECT lower(w) AS key, min(w) AS term, count(*) AS n FROM x WHERE regexp_matches(w, '^([A-Z]{{2,}}|[A-Z][a-zA-Z0-9]{{2,}})$') GROUP BY 1""")
+ x AS (SELECT unnest(ws[2:]) AS w FROM w WHERE len(ws) > 1) SELECT lower(w) AS key, min(w) AS term, count(*) AS n FROM x WHERE regexp_matches(w, '^([A-Z]{{2,}}|[A-Z][a-zA-Z0-9]{{2,}})$') AND lower(w) NOT IN {_listed(STOP)} GROUP BY 1""")
 def ag_terms(spark, d):
-    """Capitalised words inside sentences, one spelling of each."""
-    s = read(spark, d, "documents").select(F.explode(T.sentences(T.ascii_only(F.col("text")))).alias("s"))
-    w = s.select(F.posexplode(F.regexp_extract_all("s", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("pos", "w")).where("pos > 0 and w rlike '^([A-Z]{2,}|[A-Z][a-zA-Z0-9]{2,})$'")
+    """Capitalised words inside sentences that are no stop words, one spelling of each."""
+    s = spread(read(spark, d, "documents").select("text")).select(F.explode(T.sentences(T.ascii_only(F.col("text")))).alias("s"))
+    w = s.select(F.posexplode(F.regexp_extract_all("s", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("pos", "w")).where("pos > 0 and w rlike '^([A-Z]{2,}|[A-Z][a-zA-Z0-9]{2,})$'").where(~F.lower("w").isin(*STOP))
     return w.groupBy(F.lower("w").alias("key")).agg(F.min("w").alias("term"), F.count("*").alias("n"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import quality as Q
 from ..functions import text as T
 from ..operators import retrieve as R
+from ..operators.common import few, numbered, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,7 +82,7 @@ QUALITY_SQL = rf"""SELECT doc_id, text, lang, source, CASE WHEN text IS NULL OR
 
 
 def rated(spark, d):
-    return read(spark, d, "documents").withColumn("quality", Q.text_quality(F.col("text")))
+    return spread(read(spark, d, "documents")).withColumn("quality", Q.text_quality(F.col("text")))
 
 
 @query(f"SELECT doc_id, quality FROM ({QUALITY_SQL})")
@@ -101,7 +102,7 @@ def op_confidence(spark, d):
  OR (length({SHARE.format(t="p")}) > 20 AND length(regexp_replace(p, '[^aeiouAEIOU ]', '', 'g')) / length({SHARE.format(t="p")}) < 0.15) THEN 'corrupt' END AS skip_reason
  FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents))""")
 def fi_paragraphs(spark, d):
-    p = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_idx", "p"))
+    p = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_idx", "p"))
     return p.select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), Q.skip_reason(F.col("p")).alias("skip_reason"))
 
 
@@ -156,7 +157,7 @@ def ag_histogram(spark, d):
  SELECT f.a, f.b, f.k AS n, round(log2(f.k * n.n / (x.k * y.k)), 6) AS pmi FROM f JOIN c x ON x.w = f.a JOIN c y ON y.w = f.b, n""")
 def ag_bigrams(spark, d):
     """Word pairs seen twice or more with their pointwise mutual information."""
-    t = read(spark, d, "documents").select(T.tokens(F.col("text")).alias("ts"))
+    t = spread(read(spark, d, "documents").select("text")).select(T.tokens(F.col("text")).alias("ts"))
     c = t.select(F.explode("ts").alias("w")).groupBy("w").agg(F.count("*").alias("k"))
     n = c.agg(F.sum("k").cast("double").alias("total"))
     pairs = t.select(F.explode(F.arrays_zip(F.slice("ts", 1, F.greatest(F.size("ts") - 1, F.lit(0))).alias("a"), F.slice("ts", 2, F.greatest(F.size("ts") - 1, F.lit(0))).alias("b"))).alias("p"))
@@ -191,9 +192,10 @@ def wn_rolling_mean(spark, d):
 @query(r"""SELECT doc_id, first_id, doc_id <> first_id AS duplicate FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[^\p{L}\p{N}_\s]', '', 'g')) AS first_id FROM documents)""")
 def wn_duplicates(spark, d):
     """First occurrence of each normalised text; digests are shuffled, not texts."""
-    t = read(spark, d, "documents").select("doc_id", F.sha2(T.for_duplicates(F.col("text")), 256).alias("h"))
-    first = t.groupBy("h").agg(F.min("doc_id").alias("first_id"))
-    return t.join(first, "h").select("doc_id", "first_id", (F.col("doc_id") != F.col("first_id")).alias("duplicate"))
+    t = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.sha2(T.for_duplicates(F.col("text")), 256).alias("h"))
+    more = t.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")  # a row for each text that stands twice
+    first = F.coalesce("first", "doc_id")
+    return t.join(few(more), "h", "left").select("doc_id", first.alias("first_id"), (F.col("doc_id") != first).alias("duplicate"))
 
 
 @query("SELECT doc_id, source, label, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 6) AS norm FROM documents JOIN embeddings ON vec_id = doc_id")
@@ -210,9 +212,9 @@ def jn_unlabelled(spark, d):
 @query("""SELECT 'rulebook_' || doc_id || '_' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS id, 'rulebook' AS source_type, 50 AS priority FROM documents
  UNION ALL SELECT 'faq_' || item_id, 'faq', 45 FROM benchmark UNION ALL SELECT 'forum_' || conv_id, 'forum', 30 FROM (SELECT DISTINCT conv_id FROM conversations)""")
 def pr_index_documents(spark, d):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     named = lambda df, id_, kind, p: df.select(id_.alias("id"), F.lit(kind).alias("source_type"), F.lit(p).alias("priority"))
-    rules = named(read(spark, d, "documents").select("doc_id", "source"), F.concat_ws("_", F.lit("rulebook"), "doc_id", n), "rulebook", 50)
+    docs = numbered(read(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", "n")
+    rules = named(docs, F.concat_ws("_", F.lit("rulebook"), "doc_id", "n"), "rulebook", 50)
     faq = named(read(spark, d, "benchmark"), F.concat_ws("_", F.lit("faq"), "item_id"), "faq", 45)
     forum = named(read(spark, d, "conversations").select("conv_id").distinct(), F.concat_ws("_", F.lit("forum"), "conv_id"), "forum", 30)
     return rules.unionByName(faq).unionByName(forum)

@@ -12,6 +12,7 @@ from ..functions import scores as C
 from ..functions import text as T
 from ..operators import reports as P
 from ..operators import retrieve as R
+from ..operators.common import spread
 from .batch import BATCH_SQL, evaluated
 from .qa import PLAIN, TYPE_SQL
 from .registry import QUALITY_SQL, query, rated, read
@@ -64,7 +65,7 @@ NAMED_SQL = "|".join(s.lower() for s in L.SECTIONS)
  FROM (SELECT doc_id, t, string_split(t, chr(10)) AS ls, trim(string_split(t, chr(10))[1]) AS line FROM (SELECT doc_id, {PLAIN} AS t FROM documents)))""")
 def sf_sections(spark, d):
     """A section's name from each document's text."""
-    return read(spark, d, "documents").select("doc_id", T.ascii_only(F.col("text")).alias("t")).select("doc_id", L.section_name(F.col("t")).alias("section"))
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.ascii_only(F.col("text")).alias("t")).select("doc_id", L.section_name(F.col("t")).alias("section"))
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN t = '' THEN 'unknown' WHEN length(t) < 20 OR (length(t) < 50 AND ({' OR '.join(f"contains(lower(t), '{w}')" for w in T.ENGLISH)})) THEN 'en' ELSE CASE WHEN turn % 3 = 0 THEN 'de' ELSE 'en' END END AS language,

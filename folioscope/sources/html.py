@@ -6,10 +6,12 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.common import spread
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset(("script", "style"))
 
@@ -87,14 +89,15 @@ def parse_posts(html: str) -> list[tuple[str, str, str, str, int]]:
 def posts(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
     """id, post_id, author, date, content and position of every post; null pages have none."""
     kind = pages.schema[id_col].dataType.simpleString()
-    names = [id_col, "post_id", "author", "date", "content", "position"]
+    fields = (("post_id", pa.string()), ("author", pa.string()), ("date", pa.string()), ("content", pa.string()), ("position", pa.int32()))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, text in zip(b[id_col], b[html], strict=True):
-                yield pd.DataFrame([(key, *p) for p in parse_posts(text or "")], columns=names)
+            found = [(i, *p) for i, text in enumerate(b.column(html).to_pylist()) for p in parse_posts(text or "")]
+            columns = list(zip(*found, strict=True)) if found else [()] * 6
+            yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(columns[1:], fields, strict=True))], names=[id_col, *(n for n, _ in fields)])
 
-    return pages.select(id_col, html).mapInPandas(parse, f"{id_col} {kind}, post_id string, author string, date string, content string, position int")
+    return spread(pages.select(id_col, html)).mapInArrow(parse, f"{id_col} {kind}, post_id string, author string, date string, content string, position int")
 
 
 def title(html):

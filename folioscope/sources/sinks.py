@@ -6,26 +6,37 @@ import json
 import time
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INDEX_DEFAULTS = {"quality_score": 50.0, "extraction_confidence": 0.5, "extraction_method": "unknown", "priority": 50, "doc_type": "", "section": "", "answer": "", "url": ""}
+INDEX_DEFAULTS = {"quality_score": 50.0, "extraction_confidence": 0.5, "extraction_method": "unknown", "priority": 50, "doc_type": ""}
+#: Fields that only documents of a source have, with what a missing value becomes (None: stays missing).
+SOURCE_FIELDS = {
+    "rulebook": {"page": ("bigint", None), "section": ("string", ""), "chunk_index": ("bigint", "idx"), "semantic_variant": ("boolean", False), "alt_source_available": ("boolean", False)},
+    "forum": {"answer": ("string", ""), "thread_id": ("string", ""), "url": ("string", ""), "answer_user": ("string", ""), "qa_id": ("string", "")},
+    "faq": {"faq_id": ("string", "faq_idx"), "source_file": ("string", ""), "answer": ("string", ""), "section": ("string", "")},
+}
 
 
 def index_documents(chunks: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
     """Documents of an index with ids and defaults, and the rejected rows with their reason.
 
     chunks holds text, embedding, idx (unique) and source_type; further columns keep their values.
+    Fields of one source are null in documents of the others.
     """
-    c = chunks
-    for name, kind in (("page", "bigint"), ("qa_id", "string"), ("faq_id", "string")):
-        if name not in c.columns:
-            c = c.withColumn(name, F.lit(None).cast(kind))
-    c = c.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in c.columns else F.lit(v) for k, v in INDEX_DEFAULTS.items()})
+    c = chunks.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in chunks.columns else F.lit(v) for k, v in INDEX_DEFAULTS.items()})
     c = c.withColumn("source_type", F.coalesce("source_type", F.lit("rulebook")))
-    named = lambda kind, key: F.concat_ws("_", F.lit(kind), F.coalesce(F.col(key), F.col("idx").cast("string")))
-    page = F.concat_ws("_", F.lit("rulebook"), F.coalesce("page", F.lit(0)).cast("string"), F.col("idx").cast("string"))
+    known = lambda name, kind: F.col(name).cast(kind) if name in chunks.columns else F.lit(None).cast(kind)
+    named = lambda kind, key: F.concat_ws("_", F.lit(kind), F.coalesce(known(key, "string"), F.col("idx").cast("string")))
+    page = F.concat_ws("_", F.lit("rulebook"), F.coalesce(known("page", "bigint"), F.lit(0)).cast("string"), F.col("idx").cast("string"))
     c = c.withColumn("_id", F.when(F.col("source_type") == "forum", named("forum", "qa_id")).when(F.col("source_type") == "faq", named("faq", "faq_id")).otherwise(page))
+    default = {"idx": F.col("idx").cast("bigint"), "faq_idx": F.concat(F.lit("faq_"), F.col("idx").cast("string"))}
+    fields: dict[str, Column] = {}
+    for source, own in SOURCE_FIELDS.items():
+        for name, (kind, value) in own.items():
+            filled_in = known(name, kind) if value is None else F.coalesce(known(name, kind), default[value] if value in ("idx", "faq_idx") else F.lit(value))
+            fields[name] = F.when(F.col("source_type") == source, filled_in).otherwise(fields.get(name, F.lit(None).cast(kind)))
+    c = c.withColumns(fields)
     reason = F.when(F.coalesce("text", F.lit("")) == "", "empty text").when(F.coalesce(F.size("embedding"), F.lit(-1)) != dims, "invalid embedding")
     c = c.withColumn("reject_reason", reason)
     return c.where("reject_reason is null").drop("reject_reason"), c.where("reject_reason is not null")

@@ -11,7 +11,7 @@ from folioscope.functions import layout as L
 from folioscope.functions import questions as Q
 from folioscope.functions import scores as C
 from folioscope.functions import text as T
-from folioscope.operators import merge, parse, reports, retrieve, spelling, threads
+from folioscope.operators import learning, merge, parse, reports, retrieve, spelling, threads
 from folioscope.operators.ask import ask
 from folioscope.sources import readers, sinks
 
@@ -69,11 +69,23 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(p("pairs_summary")).first().n == 2 and spark.read.json(p("pairs")).count() == 2
 
 
+def test_index_fields(spark):
+    rows = [(0, "a", [1.0], None, 3, None, None, None), (1, "b", [1.0], "forum", 3, "q1", None, "said"), (2, "c", [1.0], "faq", None, None, None, None)]
+    c = spark.createDataFrame(rows, "idx int, text string, embedding array<double>, source_type string, page int, qa_id string, section string, answer string")
+    got = {r.idx: r.asDict() for r in sinks.index_documents(c, 1)[0].collect()}
+    assert [got[k]["_id"] for k in range(3)] == ["rulebook_3_0", "forum_q1", "faq_2"]
+    assert (got[0]["page"], got[0]["section"], got[0]["chunk_index"], got[0]["semantic_variant"], got[0]["answer"]) == (3, "", 0, False, None)
+    assert (got[1]["page"], got[1]["section"], got[1]["answer"], got[1]["thread_id"], got[1]["faq_id"]) == (None, None, "said", "", None)
+    assert (got[2]["faq_id"], got[2]["section"], got[2]["answer"], got[2]["url"], got[2]["priority"]) == ("faq_2", "", "", None, 50)
+    old, new = (spark.createDataFrame(x, "pattern string, replacement string") for x in ([("a", "b")], [("a", "c"), ("d", "e")]))
+    assert sorted(map(tuple, learning.merged(old, new, "pattern").collect())) == [("a", "b"), ("d", "e")]
+
+
 def pair(k, question, answer, score, n=1, url="https://x.com/thread/1", language="en"):
-    return (f"f{k}", "forum", "t", url, question, answer, [(score,)] if score is not None else [], (n, 3, language), (question,))
+    return (f"f{k}", "forum", "t", url, question, answer, [(score,)] if score is not None else [], (n, 3, language, "", "d"), (question,))
 
 
-PAIR = "id string, source string, thread_id string, thread_url string, question string, answer string, raw_answers array<struct<score:int>>, metadata struct<useful_answer_count:int,answer_count:int,language:string>, raw_question struct<content:string>"
+PAIR = "id string, source string, thread_id string, thread_url string, question string, answer string, raw_answers array<struct<score:int>>, metadata struct<useful_answer_count:int,answer_count:int,language:string,scraped_date:string,processed_date:string>, raw_question struct<content:string>"
 
 
 def test_validation(spark):
@@ -90,6 +102,10 @@ def test_validation(spark):
     got = reports.review_sample(many)
     assert {x.stratum: x["count"] for x in got.groupBy("stratum").count().collect()} == {"edge": 3, "high": 10, "medium": 10, "low": 10}
     assert {x.id for x in got.collect()} == {x.id for x in reports.review_sample(many.repartition(5)).collect()} != {x.id for x in reports.review_sample(many, seed=1).collect()}
+    partly = threads.checked(qa.drop("source").withColumn("metadata", F.struct("metadata.language")), "x.com").where("id = 'f1'").first().errors
+    assert partly == ["missing source", *(f"missing metadata {f}" for f in threads.REQUIRED_METADATA[1:])]
+    posts = spark.createDataFrame([("1", "en", [("a", "en"), ("b", "de"), ("c", None)]), ("2", "de", [])], "thread_id string, language string, posts array<struct<content:string,language:string>>")
+    assert [[p.content for p in r.posts] for r in threads.in_language(posts).collect()] == [["a"]] and threads.in_language(posts, None).count() == 2
     metrics = reports.answer_metrics(spark.createDataFrame([("hi @a @b",), ("x" * 501,)], "answer string")).first()
     assert (metrics.total_mentions, metrics.answers_over_500_chars, metrics.answers_with_mentions_pct) == (2, 1, 50.0)
     changed = {x.metric: x.percent for x in reports.metric_changes(spark.sql("select 0 as a, 4 as b"), spark.sql("select 1 as a, 5 as b")).collect()}

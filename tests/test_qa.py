@@ -1,7 +1,9 @@
 """Questions, answers, layout, chunks, spelling, merging, threads, readers and sinks on literal rows."""
 
 import json
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +184,26 @@ POSTS = [
 ]
 
 
+def test_bounds_of_matches():
+    r = random.Random(5)
+    ws = ["move", "moves", "card", "the", "a", "draw", "red", "token", "tokens", "of", "space", "dice"]
+    texts = [" ".join(r.choices(ws, k=r.randint(0, 12))) for _ in range(60)] + ["", "x", "the the the"]
+    bounds = merge._Candidates(texts)
+    for t in texts:
+        for o, b in zip(texts, bounds.bounds(t), strict=True):
+            assert merge.token_set_ratio(t, o) <= b
+    rows = lambda ts: pd.DataFrame({"idx": range(len(ts)), "norm": ts, "topics": [[] for _ in ts]})
+    a, b = rows(texts[:30]), rows(texts[30:])
+    free, want = list(range(len(b))), []
+    for i, t in enumerate(texts[:30]):  # all pairs, the first of the best
+        rated = [(merge.token_set_ratio(t, texts[30 + j]), -j) for j in free]
+        best, j = max(rated, default=(0, 0))
+        if best >= 80:
+            want.append((i, -j, best))
+            free.remove(-j)
+    assert merge._claims(a, b, 80.0) == want and len(want) > 5
+
+
 def test_threads_and_files(spark, tmp_path):
     folder = tmp_path / "threads"
     folder.mkdir()

@@ -13,6 +13,7 @@ from folioscope.functions import quality as Q
 from folioscope.functions import text as T
 from folioscope.operators import answer
 from folioscope.operators import retrieve as R
+from folioscope.operators.common import numbered
 from folioscope.operators.merge import token_set_likeness, token_set_ratio
 
 DIR = os.environ.get("QUERY_DIR", "/root/testdata/sf0.01")
@@ -106,6 +107,20 @@ def test_filters_and_boosts(spark):
     assert [r.doc_id for r in R.final_ranks(ranked, "qid", "doc_id", by_pair=True).orderBy("rank").collect()] == [3, 4, 2, 1]
 
 
+def test_hits_and_numbers(spark):
+    df = spark.createDataFrame([(1, 7.0)], "doc_id int, score double")
+    assert R.as_hits(df, F.lit(0.5)).first().asDict() == {"doc_id": 1, "forum_quality_score": 7.0, "score": 0.5}
+    assert R.as_hits(df.drop("score"), F.lit(0.5)).columns == ["doc_id", "score"]
+    rows = [(k * k, None if k % 3 == 0 else f"s{k % 2}") for k in range(-40, 200)]
+    rows = list({r[0]: r for r in rows}.values())
+    got = {r.i: r.n for r in numbered(spark.createDataFrame(rows, "i long, s string"), "s", "i", "n", rows=20).collect()}
+    want = {}
+    for key in {s for _, s in rows}:
+        want |= {i: n for n, i in enumerate(sorted(i for i, s in rows if s == key), 1)}
+    assert got == want
+    assert numbered(spark.createDataFrame([], "i long, s string"), "s", "i", "n").count() == 0
+
+
 def test_embedding_by_a_model(spark):
     df = spark.createDataFrame([("red fox",), ("red fox",), ("hen",), (None,)], "t string")
     a, b, c, none = (r.v for r in df.select(R.embedded(F.col("t")).alias("v")).collect())
