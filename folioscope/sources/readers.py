@@ -61,7 +61,7 @@ def threads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """question, ground_truth (nan: null) and place (from 0) of a CSV with a header, on demand the first most of them.
+    """question and ground_truth (nan: null) of a CSV with a header, on demand the first most of them.
 
     Values may hold line breaks, so a file is one task's and its rows keep their order; files are ordered by name.
     """
@@ -69,7 +69,7 @@ def questions(spark: SparkSession, path: str, most: int | None = None) -> DataFr
     order = Window.orderBy("_f", "_k")  # a set of questions, not a corpus
     q = q.withColumns({"_f": F.col("_metadata.file_path"), "_k": F.monotonically_increasing_id()}).withColumn("place", F.row_number().over(order) - 1)
     q = q.select("question", F.when(F.col("ground_truth") != "nan", F.col("ground_truth")).alias("ground_truth"), "place")
-    return q if most is None else q.where(F.col("place") < most)
+    return (q if most is None else q.where(F.col("place") < most)).drop("place")
 
 
 def terms(spark: SparkSession, path: str, comments: bool = True, stripped: bool = True) -> DataFrame:

@@ -26,7 +26,7 @@ def test_readers(spark, tmp_path):
         (tmp_path / f"faq{k}.json").write_text(json.dumps(rows))
     assert [r["faq_id"] for r in readers.faq(spark, str(tmp_path / "faq*.json")).orderBy("text").collect()] == ["faq_1", "faq_2", "faq_3"]
     (tmp_path / "q.csv").write_text("question,ground_truth\nx,nan\ny,1\nz,2\n")
-    assert [tuple(r) for r in readers.questions(spark, str(tmp_path / "q.csv"), 2).collect()] == [("x", None, 0), ("y", "1", 1)]
+    assert [tuple(r) for r in readers.questions(spark, str(tmp_path / "q.csv"), 2).collect()] == [("x", None), ("y", "1")]
     (tmp_path / "terms.csv").write_text("# c\n Bolt\n")
     assert {r.term for r in readers.terms(spark, str(tmp_path / "terms.csv"), comments=False, stripped=False).collect()} == {"# c", " bolt"}
     assert readers.pairs(spark, str(tmp_path / "none.json")).count() == 0 and readers.pairs(spark, str(tmp_path / "none.json")).columns[0] == "id"
