@@ -172,7 +172,7 @@ def ag_metric_changes(spark, d):
 
 def _confidence_sql(name: str, barred: str) -> str:
     pool = pools_sql(5, barred).replace("both_sides AS", f"{name}_sides AS", 1)
-    best = _first(f"SELECT *, round({WEIGHT} * v_norm + {round(1 - WEIGHT, 9)} * k_norm, 6) AS score FROM {name}_sides", 1)
+    best = _first(f"SELECT *, round({WEIGHT} * v_norm + {round(1 - WEIGHT, 9)} * k_norm, 9) AS score FROM {name}_sides", 1)
     return f"{pool}, {name} AS (SELECT qid, greatest(0, least(1, score)) AS {name} FROM ({best}))"
 
 
@@ -180,7 +180,7 @@ FORUM_BEST = _first(f"SELECT * FROM ({NEAR_SQL}) WHERE doc_id IN (SELECT doc_id
 
 
 @query(f"""WITH {DOCS_SQL}{ASKED_SQL}{KEYWORD_SQL}, {_confidence_sql("faq", "'forum', 'rulebook'")}, {_confidence_sql("rulebook", "'forum', 'faq'")}, forum AS (SELECT qid, CASE WHEN score > 1 THEN greatest(0, least(1, score - 1)) ELSE score END AS forum FROM ({FORUM_BEST}))
- SELECT qid, round(coalesce(faq, 0), 6) AS faq, round(coalesce(rulebook, 0), 6) AS rulebook, round(coalesce(forum, 0), 6) AS forum FROM asked LEFT JOIN faq USING (qid) LEFT JOIN rulebook USING (qid) LEFT JOIN forum USING (qid)""")
+ SELECT qid, round(coalesce(faq, 0), 9) AS faq, round(coalesce(rulebook, 0), 9) AS rulebook, round(coalesce(forum, 0), 9) AS forum FROM asked LEFT JOIN faq USING (qid) LEFT JOIN rulebook USING (qid) LEFT JOIN forum USING (qid)""")
 def co_sources(spark, d):
     """The confidence of official answers, rulebook and forum for each question, side by side."""
     best = lambda hits, name: hits.where("rank = 1").select("qid", T.clamped(F.col("score")).alias(name))
@@ -189,4 +189,4 @@ def co_sources(spark, d):
     out = asked(spark, d).select("qid")
     for part in (best(hybrid_hits(spark, d, 5, source_type="faq"), "faq"), best(hybrid_hits(spark, d, 5, source_type="rulebook"), "rulebook"), forum):
         out = out.join(part, "qid", "left")
-    return out.select("qid", *(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("faq", "rulebook", "forum")))
+    return out.select("qid", *(F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in ("faq", "rulebook", "forum")))

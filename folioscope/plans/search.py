@@ -100,14 +100,14 @@ def both_sides(spark, d, k: int = K, **sources) -> DataFrame:
 
 
 def hybrid_hits(spark, d, k: int = K, **sources) -> DataFrame:
-    """The k best of each question with score (to 6 places) and rank."""
-    score = F.round(WEIGHT * F.col("v_norm") + (1 - WEIGHT) * F.col("k_norm"), 6)
+    """The k best of each question with score (to 9 places, as products of those to 6 have 8) and rank."""
+    score = F.round(WEIGHT * F.col("v_norm") + (1 - WEIGHT) * F.col("k_norm"), 9)
     return R.top(both_sides(spark, d, k, **sources).withColumn("score", score), "qid", "doc_id", k)
 
 
 def hybrid_sql(k: int, barred: str) -> str:
     """SQL that defines docs, asked and hits (qid, doc_id, v_norm, k_norm, score, rank)."""
-    scored = f"SELECT *, round({WEIGHT} * v_norm + {round(1 - WEIGHT, 9)} * k_norm, 6) AS score FROM both_sides"
+    scored = f"SELECT *, round({WEIGHT} * v_norm + {round(1 - WEIGHT, 9)} * k_norm, 9) AS score FROM both_sides"
     return f"{DOCS_SQL}{ASKED_SQL}{KEYWORD_SQL}, {pools_sql(k, barred)}, hits AS ({_first(scored, k)})"
 
 
@@ -124,7 +124,7 @@ def search_sql(keywords: str) -> str:
     """SQL that ranks hits anew (table ranked); keywords: how many key words of the question a body holds."""
     return f"""x AS (SELECT h.*, priority, d.text AS t, {PLAIN.format("d.text")} AS body, {PLAIN.format("a.text")} AS question FROM hits h JOIN docs d USING (doc_id) JOIN asked a USING (qid)),
  y AS (SELECT *, round(CASE WHEN rank <= {HEAD} THEN {OVERLAP_SQL("question", "body")} ELSE score END, 6) AS pair, {keywords} AS keyword_matches FROM x),
- z AS (SELECT qid, doc_id, t, pair, keyword_matches, round(score * (1 + 0.2 * keyword_matches) * priority / 50.0, 6) AS score FROM y),
+ z AS (SELECT qid, doc_id, t, pair, keyword_matches, round(score * (1 + 0.2 * keyword_matches) * priority / 50.0, 9) AS score FROM y),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pair DESC, doc_id) AS rank FROM z)"""
 
 
@@ -138,7 +138,7 @@ def boosted(spark, d, hits: DataFrame, keywords: bool = True) -> DataFrame:
     x = hits.join(docs, "doc_id").join(questions, "qid")
     x = R.reranked(x, C.word_overlap(F.col("body"), F.col("question")), HEAD).withColumn("pair", F.round("pair", 6))
     x = R.keyword_boosted(x, T.key_words(F.col("question")) if keywords else F.array().cast("array<string>"), F.col("body"))
-    return R.final_ranks(R.priority_boosted(x).withColumn("score", F.round("score", 6)), "qid", "doc_id")
+    return R.final_ranks(R.priority_boosted(x).withColumn("score", F.round("score", 9)), "qid", "doc_id")
 
 
 @query(f"WITH {hybrid_sql(K, repr('faq'))}, {search_sql(KEYWORDS_SQL)} SELECT qid, doc_id, score, pair, keyword_matches, rank FROM ranked")
@@ -149,27 +149,27 @@ def co_search(spark, d):
 
 
 SWEEP = (0.0, 0.25, 0.5, 0.75, 1.0)
-EACH_SQL = f"""WITH {hybrid_sql(K, repr("faq"))}, best AS (SELECT qid, weight::DOUBLE AS weight, round(max(weight * v_norm + (1 - weight) * k_norm), 6) AS best FROM both_sides, (SELECT unnest([{", ".join(map(str, SWEEP))}]) AS weight) GROUP BY ALL)"""
+EACH_SQL = f"""WITH {hybrid_sql(K, repr("faq"))}, best AS (SELECT qid, weight::DOUBLE AS weight, round(max(weight * v_norm + (1 - weight) * k_norm), 9) AS best FROM both_sides, (SELECT unnest([{", ".join(map(str, SWEEP))}]) AS weight) GROUP BY ALL)"""
 
 
 def best_by_weight(spark, d) -> DataFrame:
     """qid, weight and best: each question's best hybrid score for each of five weights, one plan."""
     each = both_sides(spark, d).select("qid", "v_norm", "k_norm", F.explode(F.array(*map(F.lit, SWEEP))).alias("weight"))
-    return each.groupBy("qid", "weight").agg(F.round(F.max(F.col("weight") * F.col("v_norm") + (1 - F.col("weight")) * F.col("k_norm")), 6).alias("best"))
+    return each.groupBy("qid", "weight").agg(F.round(F.max(F.col("weight") * F.col("v_norm") + (1 - F.col("weight")) * F.col("k_norm")), 9).alias("best"))
 
 
-@query(f"""{EACH_SQL} SELECT weight, round(avg(best), 6) AS mean, round(min(best), 6) AS least, round(max(best), 6) AS most, count(*) FILTER (best >= 0.8) AS passed, round(stddev_samp(best), 6) AS spread FROM best GROUP BY 1""")
+@query(f"""{EACH_SQL} SELECT weight, round(avg(best), 6) AS mean, round(min(best), 9) AS least, round(max(best), 9) AS most, count(*) FILTER (best >= 0.8) AS passed, round(stddev_samp(best), 6) AS spread FROM best GROUP BY 1""")
 def co_weight_sweep(spark, d):
     b = F.col("best")
-    return best_by_weight(spark, d).groupBy("weight").agg(F.round(F.avg(b), 6).alias("mean"), F.round(F.min(b), 6).alias("least"), F.round(F.max(b), 6).alias("most"), F.count_if(b >= 0.8).alias("passed"), F.round(F.stddev_samp(b), 6).alias("spread"))
+    return best_by_weight(spark, d).groupBy("weight").agg(F.round(F.avg(b), 6).alias("mean"), F.round(F.min(b), 9).alias("least"), F.round(F.max(b), 9).alias("most"), F.count_if(b >= 0.8).alias("passed"), F.round(F.stddev_samp(b), 6).alias("spread"))
 
 
-@query(f"""{EACH_SQL} SELECT qid, {", ".join(f"round(max(best) FILTER (weight = {w}), 6) AS w{int(100 * w)}" for w in SWEEP)}, round(var_samp(best), 6) AS variance, round(max(best) - min(best), 6) AS range, max(best) - min(best) > 0.1 AS wide FROM best GROUP BY 1""")
+@query(f"""{EACH_SQL} SELECT qid, {", ".join(f"round(max(best) FILTER (weight = {w}), 9) AS w{int(100 * w)}" for w in SWEEP)}, round(var_samp(best), 6) AS variance, round(max(best) - min(best), 9) AS range, max(best) - min(best) > 0.1 AS wide FROM best GROUP BY 1""")
 def ag_weight_runs(spark, d):
     """Runs of all weights side by side for each question, with their variance and range."""
     b = F.col("best")
-    each = [F.round(F.max(F.when(F.col("weight") == w, b)), 6).alias(f"w{int(100 * w)}") for w in SWEEP]
-    return best_by_weight(spark, d).groupBy("qid").agg(*each, F.round(F.var_samp(b), 6).alias("variance"), F.round(F.max(b) - F.min(b), 6).alias("range"), (F.max(b) - F.min(b) > 0.1).alias("wide"))
+    each = [F.round(F.max(F.when(F.col("weight") == w, b)), 9).alias(f"w{int(100 * w)}") for w in SWEEP]
+    return best_by_weight(spark, d).groupBy("qid").agg(*each, F.round(F.var_samp(b), 6).alias("variance"), F.round(F.max(b) - F.min(b), 9).alias("range"), (F.max(b) - F.min(b) > 0.1).alias("wide"))
 
 
 @query(f"""{EACH_SQL}, m AS (SELECT weight, avg(best) AS mean FROM best GROUP BY 1), t AS (SELECT arg_max(weight, (round(mean, 9), -weight)) AS best_weight, max(mean) AS best_mean, max(mean) FILTER (weight = 0.75) AS usual,
@@ -191,12 +191,15 @@ BARRED = "'faq', 'forum'"
 @query(f"""WITH {hybrid_sql(5, BARRED)}, forum AS ({FORUM_SQL}), df AS (SELECT qid, score, doc_id FROM forum WHERE rank = 1), dr AS (SELECT qid, score FROM hits WHERE rank = 1),
  dc AS (SELECT qid, df.doc_id, dr.score IS NOT NULL AS ruled, df.score IS NOT NULL AS said, coalesce(CASE WHEN df.score > 1 THEN least(1, df.score - 1) ELSE df.score END, 0) AS fc, coalesce(CASE WHEN dr.score > 1 THEN least(1, dr.score - 1) ELSE dr.score END, 0) AS rc FROM asked LEFT JOIN df USING (qid) LEFT JOIN dr USING (qid)),
  ds AS (SELECT *, CASE WHEN NOT ruled AND NOT said THEN 'none' WHEN fc * 0.45 > rc * 0.55 THEN 'forum' WHEN ruled THEN 'rulebook' ELSE 'forum' END AS source FROM dc)
- SELECT qid, source, round(fc, 6) AS forum_confidence, round(rc, 6) AS rulebook_confidence, CASE WHEN source = 'rulebook' THEN doc_id END AS related FROM ds""")
+ SELECT qid, source, round(fc, 9) AS forum_confidence, round(rc, 9) AS rulebook_confidence, CASE WHEN source = 'rulebook' THEN coalesce(doc_id, -1) ELSE -1 END AS related FROM ds""")
 def co_dual_source(spark, d):
-    """Vector hits of the forum against hybrid hits of the rulebook: the source of the higher weighted confidence."""
+    """Vector hits of the forum against hybrid hits of the rulebook: the source of the higher weighted confidence.
+
+    related is the best forum question where the rulebook is chosen, else -1.
+    """
     forum = nearest(spark, d, 5, R.allowed(chunks(spark, d), source_type="forum"))
     rules = hybrid_hits(spark, d, 5, exclude_forum=True)
     out = answer.arbitrated(asked(spark, d).select("qid"), forum, rules, "qid")
     best = forum.where("rank = 1").select("qid", F.col("doc_id").alias("related"))
-    out = out.join(best, "qid", "left").withColumn("related", F.when(F.col("source") == "rulebook", F.col("related")))
-    return out.select("qid", "source", *(F.round(c, 6).alias(c) for c in ("forum_confidence", "rulebook_confidence")), "related")
+    out = out.join(best, "qid", "left").withColumn("related", F.when(F.col("source") == "rulebook", F.coalesce("related", F.lit(-1).cast("long"))).otherwise(-1))
+    return out.select("qid", "source", *(F.round(c, 9).alias(c) for c in ("forum_confidence", "rulebook_confidence")), "related")
