@@ -2,6 +2,13 @@
 
 Each stage gets what its predecessor kept, as Parquet reread, and its decisions
 take effect. All but the last return the columns of documents.
+
+Cases: null and empty texts score by the classifier's bias, are no copies of
+anything, hold no benchmark passage and are never taken by the
+mix (no words); null ids come first in the token files; of equal texts the least
+id stays (a null id only where no other is there), of rows that repeat id and
+text one; columns other than those of documents are carried along, but names that
+begin with __fs_ are the operators' own; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -47,7 +54,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing sources to target weights", mixed),
     ("token-ID / binary output", token_files),
 ]
-#: Trained, searched and tokenised stages have no SQL. tests/llm tests the operators; no test runs the composed stages.
+#: Trained, searched and tokenised stages have no SQL; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
