@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of the largest table that is broadcast.
@@ -32,6 +32,14 @@ def few(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= SENT_ROWS else df
 
 
+def lower_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of the session have at most so many rows (never more than before), so that workers stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def numbered(df: DataFrame, key: str, order: str, out: str, rows: int = 50_000) -> DataFrame:
     """df with out, the place (from 1) of each row among those of its key by order (whole numbers, unique within a key).
 

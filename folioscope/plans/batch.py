@@ -45,7 +45,8 @@ BATCH_SQL = f"""WITH {hybrid_sql(K, BARRED)}, {search_sql("0")}, {answers_sql("S
 
 def answered(spark, d) -> tuple[DataFrame, DataFrame]:
     """Questions (qid, question, truth) and their ranked chunks (qid, doc_id, score, rank, t)."""
-    truth = read(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.get(T.sentences(T.ascii_only(F.col("text"))), F.lit(0)).alias("truth"))
+    stated = read(spark, d, "documents").where(F.col("doc_id") % 100 == 0)  # only these are asked
+    truth = stated.select(F.col("doc_id").alias("qid"), F.get(T.sentences(T.ascii_only(F.col("text"))), F.lit(0)).alias("truth"))
     questions = asked(spark, d).select("qid", T.ascii_only(F.col("text")).alias("question")).join(truth, "qid")
     ranked = boosted(spark, d, hybrid_hits(spark, d, source_type="rulebook"), keywords=False)
     return questions, ranked.select("qid", "doc_id", "score", "rank", "t")

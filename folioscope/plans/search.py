@@ -9,6 +9,7 @@ from ..functions import scores as C
 from ..functions import text as T
 from ..operators import answer
 from ..operators import retrieve as R
+from ..operators.common import few
 from .registry import TOKENS_SQL, query, read
 
 K, HEAD, WEIGHT = 25, 10, 0.85
@@ -36,7 +37,7 @@ KEYWORD_SQL = rf"""ts AS (SELECT doc_id, {TOKENS_SQL} AS ts FROM docs), st AS (S
 @query(f"""WITH docs AS (SELECT doc_id, text FROM documents), asked AS (SELECT item_id AS qid, text FROM benchmark), {KEYWORD_SQL} SELECT qid AS item_id, doc_id, score, rank FROM ({_first("SELECT * FROM kw", K)})""")
 def co_keyword_search(spark, d):
     """The 25 best documents that hold every token of each item (a top-k report)."""
-    hits = R.keyword_search(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "item_id")
+    hits = R.keyword_search(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "item_id", k=K)
     hits = R.top(hits.withColumn("score", F.round("score", 6)), "item_id", "doc_id", K)
     return hits.select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -94,7 +95,7 @@ def both_sides(spark, d, k: int = K, **sources) -> DataFrame:
     """qid, doc_id, v_norm and k_norm (to 6 places) of the pools of a hybrid search for k hits, from allowed sources."""
     docs = chunks(spark, d)
     there = R.allowed(docs, **sources).select("doc_id")
-    words = R.keyword_search(docs, asked(spark, d), "doc_id", "qid").select("qid", "doc_id", F.round("score", 6).alias("score")).join(there, "doc_id", "left_semi")
+    words = R.keyword_search(docs, asked(spark, d), "doc_id", "qid", k=R.pool(k), among=R.permitted(**sources)).select("qid", "doc_id", F.round("score", 6).alias("score"))
     merged = R.hybrid(nearest(spark, d, R.pool(k), there), R.top(words, "qid", "doc_id", R.pool(k)), "qid", "doc_id")
     return merged.select("qid", "doc_id", *(F.round(c, 6).alias(c) for c in ("v_norm", "k_norm")))
 
@@ -132,10 +133,14 @@ KEYWORDS_SQL = f"len(list_filter({KEY_SQL('question')}, lambda k: contains(lower
 
 
 def boosted(spark, d, hits: DataFrame, keywords: bool = True) -> DataFrame:
-    """hits reranked by a stand-in pair model (shared key words), boosted by key words and priority, and ranked anew; with text."""
-    docs = chunks(spark, d).select("doc_id", F.col("text").alias("t"), T.ascii_only(F.col("text")).alias("body"), "priority")
+    """hits reranked by a stand-in pair model (shared key words), boosted by key words and priority, and ranked anew; with text.
+
+    hits are cached (few for each question; spark.catalog.clearCache() drops them), so that texts stay where they are read.
+    """
+    hits = hits.persist()
+    docs = chunks(spark, d).select("doc_id", F.col("text").alias("t"), "priority").join(few(hits), "doc_id")
     questions = asked(spark, d).select("qid", T.ascii_only(F.col("text")).alias("question"))
-    x = hits.join(docs, "doc_id").join(questions, "qid")
+    x = docs.join(few(questions, hits.count()), "qid").withColumn("body", T.ascii_only(F.col("t")))
     x = R.reranked(x, C.word_overlap(F.col("body"), F.col("question")), HEAD).withColumn("pair", F.round("pair", 6))
     x = R.keyword_boosted(x, T.key_words(F.col("question")) if keywords else F.array().cast("array<string>"), F.col("body"))
     return R.final_ranks(R.priority_boosted(x).withColumn("score", F.round("score", 9)), "qid", "doc_id")
