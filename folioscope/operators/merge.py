@@ -2,41 +2,45 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.layout import TOPICS, same_topic
+from ..functions.layout import TOPICS
 from ..functions.quality import confidence, text_quality
 from ..functions.text import normalised
-from .common import tasks
+from .common import lower_batches, tasks
 
 ALIKE = 80.0
 
 
 def indel_ratio(a: str, b: str) -> float:
     """0 to 100: twice the longest common subsequence over both lengths. Runs of bits stand for rows of the table."""
-    if not a and not b:
-        return 100.0
+    return 200.0 * _shared(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def _shared(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
     where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
     full = (1 << len(a)) - 1
     open_ = full
     for c in b:
-        met = open_ & where.get(c, 0)
-        open_ = ((open_ + met) | (open_ - met)) & full
-    return 200.0 * (len(a) - open_.bit_count()) / (len(a) + len(b))
+        if places := where.get(c):
+            met = open_ & places
+            open_ = ((open_ + met) | (open_ - met)) & full
+    return len(a) - open_.bit_count()
 
 
 def token_set_ratio(a: str, b: str, least: float = 0.0) -> float:
     """The best indel ratio among common words, and common words with either text's own; 0 where a text is empty or all are under least.
 
-    Common words begin both longer strings, so only those two need comparing, and only where their lengths allow it.
+    Common words begin both longer strings, so only those two need comparing, and only what follows there, where their lengths allow it.
     """
     x, y = set(a.split()), set(b.split())
     if not x or not y:
@@ -49,7 +53,7 @@ def token_set_ratio(a: str, b: str, least: float = 0.0) -> float:
     best = 200.0 * len(common) / (len(common) + min(m, n)) if common else 0.0
     possible = 200.0 * min(m, n) / (m + n)
     if possible >= max(best, least):
-        best = max(best, indel_ratio(f"{common} {left}" if common else left, f"{common} {right}" if common else right))
+        best = max(best, 200.0 * (head + _shared(left, right)) / (m + n))
     return best if best >= least else 0.0
 
 
@@ -67,29 +71,27 @@ class _Candidates:
 
     def __init__(self, texts: Sequence[str]) -> None:
         plain = [" ".join(sorted(set(t.split()))) for t in texts]
-        self.alphabet = {c: k for k, c in enumerate(sorted(set().union(*plain)))}
+        self.alphabet = np.unique(_codes("".join(plain)))
         self.length = np.array([len(t) for t in plain], np.int64)
         self.chars = np.stack([self.counted(t) for t in plain])
-        at: dict[str, list[int]] = {}
+        self.at: dict[str, list[int]] = {}
         for k, t in enumerate(plain):
             for w in t.split():
-                at.setdefault(w, []).append(k)
-        self.at = {w: np.array(ks) for w, ks in at.items()}
+                self.at.setdefault(w, []).append(k)
 
     def counted(self, text: str) -> np.ndarray:
-        out = np.zeros(len(self.alphabet), np.int32)
-        for c, n in Counter(text).items():
-            if c in self.alphabet:
-                out[self.alphabet[c]] = n
-        return out
+        codes = _codes(text)
+        at = np.searchsorted(self.alphabet, codes)
+        at = at[self.alphabet[np.minimum(at, len(self.alphabet) - 1)] == codes] if len(self.alphabet) else at[:0]
+        return np.bincount(at, minlength=len(self.alphabet))
 
     def bounds(self, text: str) -> np.ndarray:
         """What token_set_ratio of text and each can be at most: by the words they share, their lengths and their common characters."""
         words = sorted(set(text.split()))
-        plain, shared = " ".join(words), np.zeros(len(self.length), np.int64)
-        for w in words:
-            if w in self.at:
-                shared[self.at[w]] += len(w) + 1
+        plain = " ".join(words)
+        there = [(len(w) + 1, ks) for w in words if (ks := self.at.get(w))]
+        where = np.fromiter((k for _, ks in there for k in ks), np.int64)
+        shared = np.bincount(where, np.repeat([n for n, _ in there], [len(ks) for _, ks in there]), len(self.length)) if there else np.zeros(len(self.length))
         shared = np.maximum(shared - 1, 0)
         short, both = np.minimum(self.length, len(plain)), np.maximum(self.length + len(plain), 1)
         by_words = np.where(shared > 0, 200.0 * shared / np.maximum(shared + short, 1), 0.0)
@@ -97,25 +99,37 @@ class _Candidates:
         return np.maximum(by_words, by_chars) + 1e-9
 
 
-def _claims(pdf: pd.DataFrame, ocr: pd.DataFrame, least: float) -> list[tuple]:
-    """pdf index, ocr index, similarity: in order each pdf chunk claims its best free match; ties go to the first. Only pairs whose bound allows it are compared."""
-    if pdf.empty or ocr.empty:
-        return []
-    others = list(ocr.sort_values("idx").itertuples(index=False))
-    candidates, free = _Candidates([o.norm for o in others]), np.ones(len(others), bool)
-    out = []
-    for p in pdf.sort_values("idx").itertuples(index=False):
-        bound, ratio, k = candidates.bounds(p.norm), 0.0, -1
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _matched(pdf: Sequence[tuple], ocr: Sequence[tuple], least: float) -> tuple[list[tuple], list[bool]]:
+    """Of two lists (norm, topics) in order: place in pdf, place in ocr, similarity and whether topics are the same; which of ocr stay free.
+
+    In order each pdf chunk claims its best free match; ties go to the first. Only pairs whose bound allows it are compared.
+    """
+    free, out = np.ones(len(ocr), bool), []
+    candidates = _Candidates([t for t, _ in ocr]) if pdf and ocr else None
+    for i, (norm, topics) in enumerate(pdf if ocr else ()):
+        bound, ratio, k = candidates.bounds(norm), 0.0, -1
         for j in np.flatnonzero(free & (bound >= least)).tolist():
             if bound[j] > ratio:
-                r = token_set_ratio(p.norm, others[j].norm, max(least, ratio))
+                r = token_set_ratio(norm, ocr[j][0], max(least, ratio))
                 if r > ratio:
                     ratio, k = r, j
         if k >= 0:
-            o = others[k]
-            out.append((p.idx, o.idx, ratio))
-            free[k] = not _same(p.topics, o.topics)
-    return out
+            same = _same(topics, ocr[k][1])
+            out.append((i, k, ratio, same))
+            free[k] = not same
+    return out, free.tolist()
+
+
+def _claims(pdf: pd.DataFrame, ocr: pd.DataFrame, least: float) -> list[tuple]:
+    """pdf index, ocr index and similarity of the matches of two tables of a book (idx, norm, topics)."""
+    p, o = pdf.sort_values("idx"), ocr.sort_values("idx")
+    rows = lambda df: list(zip(df["norm"], df["topics"], strict=True))
+    found, _ = _matched(rows(p), rows(o), least)
+    return [(p["idx"].iloc[i], o["idx"].iloc[k], ratio) for i, k, ratio, _ in found]
 
 
 def _same(a: Sequence[str], b: Sequence[str]) -> bool:
@@ -126,37 +140,53 @@ def _same(a: Sequence[str], b: Sequence[str]) -> bool:
 def merge(pdf: DataFrame, ocr: DataFrame, book: str = "book", least: float = ALIKE) -> DataFrame:
     """book, idx, text, method, quality, confidence, variant, alternative and similarity of the merged chunks.
 
-    Chunks match within their book, which one task holds (a rulebook's chunks, not a corpus).
-    pdf and ocr hold book, idx (unique within it), text and section. A match of other topics
-    keeps both and stays free. A null text counts as empty.
+    Chunks match within their book, which is a row of one task (a rulebook's chunks, not a corpus):
+    texts are shuffled once, matched and put together there. pdf and ocr hold book, idx (unique
+    within it), text and section. A match of other topics keeps both and stays free. A null text
+    counts as empty; chunks of no book match none.
     """
+    lower_batches(pdf.sparkSession)
     pattern = rf"\b({'|'.join(TOPICS)})\b"
-    ready = lambda df: df.select(F.col(book).alias(book), F.col("idx").alias("idx"), F.coalesce("text", F.lit("")).alias("text"), F.col("section").alias("section")).select(
-        "*", normalised(F.col("text")).alias("norm"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(1))).alias("topics"), text_quality(F.col("text")).alias("quality"),
-    )
-    p, o = ready(pdf), ready(ocr)
-    kind = pdf.schema[book].dataType.simpleString()
-    index = pdf.schema["idx"].dataType.simpleString()
-
-    def claim(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *x) for x in _claims(a, b, least)], columns=[book, "idx", "ocr_idx", "similarity"])
-
-    lean = [book, "idx", "norm", "topics"]
-    n = tasks(pdf)
-    found = p.select(lean).repartition(n, book).groupBy(book).cogroup(o.select(lean).repartition(n, book).groupBy(book)).applyInPandas(claim, f"{book} {kind}, idx {index}, ocr_idx {index}, similarity double")
-    other = o.select(book, F.col("idx").alias("ocr_idx"), *(F.col(c).alias(f"o_{c}") for c in ("text", "section", "quality")))
-    met = p.join(found, [book, "idx"], "left").join(other, [book, "ocr_idx"], "left")
-    met = met.withColumn("matched", F.col("ocr_idx").isNotNull()).withColumn("variant", F.col("matched") & ~same_topic(F.col("text"), F.col("o_text")))
-    take = F.col("matched") & ~F.col("variant") & (F.col("quality") < F.col("o_quality"))
-    pick = lambda c: F.when(take, F.col(f"o_{c}")).otherwise(F.col(c)).alias(c)
-    kept = met.select(
-        book, F.when(take, F.col("ocr_idx")).otherwise(F.col("idx")).alias("idx"), pick("text"), pick("section"), pick("quality"), F.when(take, "ocr").otherwise("pdf").alias("method"),
-        F.coalesce("variant", F.lit(False)).alias("variant"), (F.col("matched") & ~F.coalesce("variant", F.lit(False))).alias("alternative"), F.when(~F.col("variant"), F.col("similarity")).alias("similarity"),
+    topics = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(pattern), F.lit(1)))
+
+    def ready(df: DataFrame, side: int) -> DataFrame:
+        rows = df.select(F.col(book).alias("book"), F.col("idx"), F.coalesce("text", F.lit("")).alias("text"), F.col("section"))
+        return rows.select("book", F.lit(side).alias("side"), F.struct("idx", "text", F.coalesce("section", F.lit("")).alias("named"), text_quality(F.col("text")).alias("quality")).alias("x"))
+
+    both = ready(pdf, 0).unionByName(ready(ocr, 1)).repartition(tasks(pdf), "book").groupBy("book")
+    books = both.agg(*(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.col("x")))).alias(c) for k, c in enumerate("po")))
+    lists = [F.transform(c, lambda x: normalised(x["text"])).alias(f"{c}_norm") for c in "po"] + [F.transform(c, lambda x: topics(x["text"])).alias(f"{c}_topics") for c in "po"]
+    schema = books.select("*", *(F.array().cast(t).alias(c) for c, t in (("at", "array<int>"), ("similarity", "array<double>"), ("same", "array<boolean>"), ("free", "array<boolean>")))).schema
+
+    def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[list] = [[], [], [], []]
+            for name, *rest in zip(*(b.column(c).to_pylist() for c in ("book", "p_norm", "p_topics", "o_norm", "o_topics")), strict=True):
+                p, o = (list(zip(*rest[k : k + 2], strict=True)) for k in (0, 2))
+                claims, free = _matched(p if name is not None else [], o, least)
+                by = {i: x for i, *x in claims}
+                for out, k, none in zip(found, range(3), (-1, None, None), strict=False):
+                    out.append([by[i][k] if i in by else none for i in range(len(p))])
+                found[3].append(free)
+            kinds = (pa.int32(), pa.float64(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("book", "p", "o")), *(pa.array(x, pa.list_(t)) for x, t in zip(found, kinds, strict=True))], schema.names)
+
+    met = books.select("*", *lists).mapInArrow(claim, schema)
+
+    def merged(x: Column) -> Column:
+        p, o = x["p"], F.when(x["at"] >= 0, F.get("o", x["at"]))
+        variant = F.coalesce(~x["same"], F.lit(False))
+        take = F.coalesce(x["same"] & (p["quality"] < o["quality"]), F.lit(False))
+        return F.struct(F.when(take, o).otherwise(p).alias("x"), F.when(take, "ocr").otherwise("pdf").alias("method"), variant.alias("variant"), F.coalesce(x["same"], F.lit(False)).alias("alternative"), F.when(~variant, x["similarity"]).alias("similarity"))
+
+    alone = lambda x: F.struct(x["o"].alias("x"), F.lit("ocr").alias("method"), F.lit(False).alias("variant"), F.lit(False).alias("alternative"), F.lit(None).cast("double").alias("similarity"))
+    rest = F.transform(F.filter(F.arrays_zip("o", "free"), lambda x: x["free"]), alone)
+    out = met.select("book", F.explode(F.concat(F.transform(F.arrays_zip("p", "at", "similarity", "same"), merged), rest)).alias("m")).select("book", "m.*")
+    x = F.col("x")
+    return out.select(
+        F.col("book").alias(book), x["idx"].alias("idx"), x["text"].alias("text"), x["quality"].alias("quality"), "method", "variant", "alternative", "similarity",
+        confidence(x["quality"], F.col("method"), x["named"], F.col("variant")).alias("confidence"),
     )
-    claimed = met.where("matched and not variant").select(book, F.col("ocr_idx").alias("idx"))
-    rest = o.join(claimed, [book, "idx"], "left_anti").select(book, "idx", "text", "section", "quality", F.lit("ocr").alias("method"), F.lit(False).alias("variant"), F.lit(False).alias("alternative"), F.lit(None).cast("double").alias("similarity"))
-    out = kept.unionByName(rest)
-    return out.withColumn("confidence", confidence(F.col("quality"), F.col("method"), F.coalesce("section", F.lit("")), F.col("variant"))).drop("section")
 
 
 UNIFIED = {
