@@ -6,7 +6,7 @@ import pytest
 
 from folioscope.plans.registry import QUERIES
 
-NAMES = ["co_sources"]
+NAMES = ["co_sources", "co_answers"]
 TEXTS, WORDS = 600, 120
 
 
