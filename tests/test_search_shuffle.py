@@ -6,7 +6,7 @@ import pytest
 
 from folioscope.plans.registry import QUERIES
 
-NAMES = ["co_sources", "co_answers", "co_dual_source", "co_search", "co_weight_sweep", "co_best_chunk", "co_batch", "ev_mismatches", "ag_weight_advice", "ag_batch", "ag_weight_runs", "co_extractive"]
+NAMES = ["co_sources", "co_answers", "co_dual_source", "co_search", "co_weight_sweep", "co_best_chunk", "co_batch", "ev_mismatches", "ag_weight_advice", "ag_batch", "ag_weight_runs", "co_extractive", "ev_scores"]
 TEXTS, WORDS = 600, 120
 
 
